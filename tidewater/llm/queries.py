@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidewater.llm import decontaminate, exact_dedup, language_id, mixing, quality, sharding, simhash, url_filter
+from tidewater.llm import decontaminate, exact_dedup, language_id, mixing, quality, sharding, simhash, suffix_dedup, token_store, url_filter
 
 #: The rules that op6 judges pages by.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -22,6 +23,25 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def tokens_of(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Writes docs with the public word-end tokenizer (or the JSON file at the path given) and reads the files back."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    segments = token_store.write(docs, Tokenizer.from_file(tokenizer).to_str())
+    return token_store.read(segments).withColumnRenamed("id", "doc_id")
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_of(_read(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), "n_words", F.col("other").alias("other_doc_id"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = language_id.train(language_id.training_texts(docs.where(~language_id.held_out(F.col("doc_id")))))
@@ -61,7 +81,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_language_id, op5_mixing, op6_url_filter, op7_exact_dedup, op8_quality, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_output, op3_suffix_dedup, op4_language_id, op5_mixing, op6_url_filter, op7_exact_dedup, op8_quality, op9_decontamination, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
