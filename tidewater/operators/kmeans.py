@@ -20,6 +20,8 @@ from tidewater.operators.work import cut
 
 #: Numbers of all centroids up to which they are one literal of the plan, and up to which they are broadcast.
 LITERAL_CELLS, BROADCAST_CELLS = 20_000, 50_000_000
+#: Numbers that k-means++ draws from on the driver.
+SEED_CELLS = 2_000_000
 
 
 def assign(rows: DataFrame, centroids: DataFrame, vec: str = "embedding", kind: str = "l2", cid: str = "cid", cvec: str = "cvec") -> DataFrame:
@@ -34,7 +36,7 @@ def assign(rows: DataFrame, centroids: DataFrame, vec: str = "embedding", kind:
     if cells > BROADCAST_CELLS:
         raise ValueError(f"{cells} centroid entries are more than BROADCAST_CELLS; assign to fewer centroids at a time")
     if cells <= LITERAL_CELLS:
-        table = F.array(*[F.struct(F.lit(r[cid]).alias("i"), F.array(*[F.lit(float(x)) for x in r[cvec]]).alias("v")) for r in c])
+        table = F.array(*[F.struct(F.lit(r[cid]).alias("i"), F.split(F.lit(",".join(map(repr, r[cvec]))), ",").cast("array<double>").alias("v")) for r in c])
         best = F.array_min(F.transform(table, lambda x: F.struct(distance(F.col(vec), x.v, kind).alias("d"), x.i.alias("i"))))
         return rows.withColumn("_best", best).withColumn(cid, F.col("_best.i")).withColumn("dist", F.col("_best.d")).drop("_best")
     ids = [r[cid] for r in c]
@@ -107,42 +109,45 @@ def closest(assigned: DataFrame, key: str, s: int | None = None, cid: str = "cid
     return out.where(F.col("rank") <= s) if s else out
 
 
+def local(centroids: DataFrame) -> DataFrame:
+    """Centroids as rows of the plan: their lineage ends here. They are bounded by BROADCAST_CELLS."""
+    got = centroids.limit(BROADCAST_CELLS).collect()
+    if sum(len(r["cvec"]) for r in got) > BROADCAST_CELLS:
+        raise ValueError("more centroid entries than BROADCAST_CELLS")
+    return centroids.sparkSession.createDataFrame(got, centroids.schema)
+
+
 def seeds(rows: DataFrame, key: str, k: int, vec: str = "embedding", method: str = "k-means++", seed: int = 42) -> DataFrame:
-    """(cid int, cvec) of k rows to start from; fewer if there are fewer rows.
+    """(cid int, cvec) of k rows to start from; fewer if there are fewer different rows.
 
     random: by hashed order. k-means++: each next one is drawn with odds in
-    proportion to its distance from those before, by the exponential race
-    -ln(u) / distance, of 2 + ln k candidates the one that lowers the potential most.
+    proportion to its squared distance from those before, the best of 2 + ln k draws
+    by the potential it leaves. It draws from the first rows by hashed order, as many
+    as have SEED_CELLS entries together.
     """
-    spark = rows.sparkSession
-    if method == "random":
-        got = [r[vec] for r in rows.orderBy(uniform(seed, F.col(key)), key).limit(k).select(vec).collect()]
-    elif method == "k-means++":
-        x = cut(rows.select(F.col(key).alias("_key"), doubles(F.col(vec)).alias("_v")))
-        got = [list(r._v) for r in x.orderBy(uniform(seed, F.col("_key")), "_key").limit(1).collect()]
-        tries = 2 + int(np.log(k))
-        lit = lambda v: F.array(*[F.lit(float(e)) for e in v])
-        near = x.withColumn("_d", distance(F.col("_v"), lit(got[0]))) if got else x
-        while got and len(got) < k:
-            u = uniform(seed + len(got), F.col("_key"))
-            race = near.where("_d > 0").orderBy(-F.ln(F.greatest(u, F.lit(1e-12))) / F.col("_d"), "_key").limit(tries).collect()
-            if not race:
-                break
-            sums = near.agg(*[F.sum(F.least("_d", distance(F.col("_v"), lit(r._v)))).alias(f"s{i}") for i, r in enumerate(race)]).first()
-            best = race[int(np.argmin(list(sums)))]
-            got.append(list(best._v))
-            near = near.withColumn("_d", F.least("_d", distance(F.col("_v"), lit(best._v))))
-            if len(got) % 8 == 0:
-                near = cut(near)
-    else:
+    if method not in ("random", "k-means++"):
         raise ValueError(f"unknown seeding {method!r}")
-    return spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(got)], "cid int, cvec array<double>")
+    some = rows.where(F.col(vec).isNotNull()).orderBy(uniform(seed, F.col(key)), key).select(doubles(F.col(vec)).alias("v"))
+    first = some.limit(1).collect()
+    n = k if method == "random" else max(k, SEED_CELLS // max(1, len(first[0].v))) if first else 0
+    x = np.array([r.v for r in some.limit(n).collect()], dtype=np.float64) if n else np.zeros((0, 0))
+    if method == "k-means++" and len(x):
+        rng, chosen = np.random.default_rng(seed), [0]
+        near = ((x - x[0]) ** 2).sum(1)
+        while len(chosen) < k and near.sum() > 0:
+            draws = np.searchsorted(np.cumsum(near), rng.random(2 + int(np.log(k))) * near.sum(), side="right").clip(max=len(x) - 1)
+            left = [np.minimum(near, ((x - x[d]) ** 2).sum(1)) for d in draws]
+            best = int(np.argmin([p.sum() for p in left]))
+            near = left[best]
+            chosen.append(int(draws[best]))
+        x = x[chosen]
+    return rows.sparkSession.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "cid int, cvec array<double>")
 
 
 def lloyd(rows: DataFrame, centroids: DataFrame, iterations: int, vec: str = "embedding", kind: str = "l2") -> DataFrame:
     """Centroids after a fixed number of assignments and means."""
     for _ in range(iterations):
-        centroids = cut(updated(centroids, assign(rows, centroids, vec, kind), vec))
+        centroids = local(updated(centroids, assign(rows, centroids, vec, kind), vec))
     return centroids
 
 
