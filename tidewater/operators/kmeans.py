@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewater.functions.chance import uniform
 from tidewater.functions.vectors import distance, doubles
@@ -41,7 +42,8 @@ def assign(rows: DataFrame, centroids: DataFrame, vec: str = "embedding", kind:
         return rows.withColumn("_best", best).withColumn(cid, F.col("_best.i")).withColumn("dist", F.col("_best.d")).drop("_best")
     ids = [r[cid] for r in c]
     shared = rows.sparkSession.sparkContext.broadcast(np.array([r[cvec] for r in c]))
-    at = rows.columns.index(vec)
+    columns, id_type = rows.columns, to_arrow_type(centroids.schema[cid].dataType)
+    at = columns.index(vec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -52,7 +54,7 @@ def assign(rows: DataFrame, centroids: DataFrame, vec: str = "embedding", kind:
                 d = ((x - m[k]) ** 2).sum(1) if kind == "l2" else 2 - 2 * (x @ m[k])
                 less = d < best
                 best, near = np.where(less, d, best), np.where(less, k, near)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([ids[k] for k in near]), pa.array(best)], [*rows.columns, cid, "dist"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([ids[k] for k in near], id_type), pa.array(best)], [*columns, cid, "dist"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{schema}, `{cid}` {centroids.schema[cid].dataType.simpleString()}, dist double")

@@ -135,7 +135,8 @@ def clips(contents: DataFrame, wanted: DataFrame, rate: int | None = None, decod
 
 def embedded(frames: DataFrame, embed: Callable[[np.ndarray], np.ndarray], samples: str = "samples") -> DataFrame:
     """frames with embedding: `embed` takes a batch [window, sample] and gives [window, size]."""
-    at = frames.columns.index(samples)
+    columns = frames.columns
+    at = columns.index(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +144,7 @@ def embedded(frames: DataFrame, embed: Callable[[np.ndarray], np.ndarray], sampl
                 continue
             y = np.asarray(embed(np.array(b.column(at).to_pylist(), np.float32)), np.float32)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32()), pa.array(y.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, vectors], [*frames.columns, "embedding"])
+            yield pa.RecordBatch.from_arrays([*b.columns, vectors], [*columns, "embedding"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
     return frames.mapInArrow(run, f"{schema}, embedding array<float>")

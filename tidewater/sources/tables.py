@@ -16,7 +16,7 @@ from tidewater.functions.names import basename, is_recording, parent, start_time
 
 def pings(spark: SparkSession, path: str) -> DataFrame:
     """Ping CSVs of a folder, with ais_file, and ping_id: a hash of the row that tells pings apart."""
-    x = spark.read.schema(schemas.PINGS).csv(path, header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss").withColumn("ais_file", F.col("_metadata.file_name"))
+    x = spark.read.schema(schemas.PINGS).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(path, header=True).withColumn("ais_file", F.col("_metadata.file_name"))
     return x.where("MMSI is not null").withColumn("ping_id", F.xxhash64("ais_file", "MMSI", "BaseDateTime", "LAT", "LON"))
 
 
@@ -37,8 +37,8 @@ def deployments(spark: SparkSession, path: str) -> DataFrame:
         book = book.rename(columns=dict(zip(book.columns[:3], ("col0", "col1", "col2"), strict=True)))
         x = spark.createDataFrame(book[["col0", "col1", "col2", "AIS data file", "Audio Start", "Audio End"]].astype(object).where(book.notna(), None), schemas.DEPLOYMENTS)
     else:
-        x = spark.read.schema(schemas.DEPLOYMENTS).csv(path, header=True)
-    x = x.withColumn("ais_file", F.explode_outer(F.transform(F.split("AIS data file", ","), F.trim)))
+        x = spark.read.schema(schemas.DEPLOYMENTS).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True)
+    x = x.withColumn("ais_file", F.explode_outer(F.transform(F.split("AIS data file", ","), lambda x: F.trim(x))))
     return x.orderBy(F.timestamp_diff("SECOND", F.col("Audio Start"), F.col("Audio End")).desc_nulls_last(), "col0", "col1", "col2", "ais_file")
 
 
