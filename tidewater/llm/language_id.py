@@ -91,7 +91,7 @@ def train(texts: dict[str, list[bytes]]) -> Model:
         p2 = _blend(c3.reshape(a, a, a), p1[None, :, :])
         p3 = _blend(c4, p2.reshape(a * a, a)[contexts % (a * a)])
         short[..., k], long[..., k] = -np.log2(p2), -np.log2(p3)
-    return Model(langs, bytes(code), a, short.reshape(-1, len(langs)), row, long.reshape(-1, len(langs)))
+    return Model(langs, bytes(code), a, short.reshape(a**3, len(langs)), row, long.reshape(len(contexts) * a, len(langs)))
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
