@@ -35,4 +35,4 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(SQL)))
 def test_without_sql_is_whole(spark, duck, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
-    assert df.count() == duck.sql("SELECT count(*) FROM embeddings").fetchone()[0]
+    assert df.count() == duck.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
