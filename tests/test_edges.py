@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater import config
 from tidewater.functions import intervals, names, vectors
-from tidewater.operators import annotations, evaluate, hierarchy, kmeans, matching, ordered, sampling, sessions, splits, tracks
+from tidewater.operators import annotations, evaluate, hierarchy, kmeans, matching, ordered, probe, sampling, sessions, splits, tracks
 from tidewater.plans import pipelines
 
 T0 = dt.datetime(2020, 1, 1)
@@ -243,3 +243,10 @@ def test_labelled_windows(spark):
     rows = {r.primary_label: r for r in meta.collect()}
     assert set(rows) == {"A_b", "C"} and rows["C"].labels == "A b|C" and [r.idx for r in bad.collect()] == [3] and split.count() == 1
     assert pipelines.labelled_windows(ann, existing=meta)[0].count() == 0
+
+
+def test_linear_probe(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i % 3 == 0), float(i % 3 == 1)], i % 3) for i in range(30)] + [(99, None, 1)], "k int, v array<float>, c int")
+    probe.save(probe.fit(df, "v", "c"), str(tmp_path / "m"))
+    got = probe.predict(df.where("k < 30"), probe.load(str(tmp_path / "m")), "v").collect()
+    assert all(r.pred == r.c for r in got) and len(got) == 30

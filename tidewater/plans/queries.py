@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import intervals, names, vectors
 from tidewater.functions.chance import uniform
-from tidewater.operators import annotations, evaluate, hierarchy, kmeans, matching, ordered, sampling, sessions, splits
+from tidewater.operators import annotations, evaluate, hierarchy, kmeans, matching, ordered, probe, sampling, sessions, splits
 
 #: Pings a vessel keeps whole; the driver's tables have 49 pings and more a user.
 T = 60
@@ -672,5 +672,11 @@ def hierarchical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels[0].assigned.select("vec_id", F.col("cid").alias("c1")).join(up, "c1")
 
 
+@query
+def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _emb(spark, sf_dir)
+    return probe.predict(e, probe.fit(e, "embedding", "label", iterations=10), "embedding").select("vec_id", "label", "pred")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
