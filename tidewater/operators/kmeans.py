@@ -111,14 +111,6 @@ def closest(assigned: DataFrame, key: str, s: int | None = None, cid: str = "cid
     return out.where(F.col("rank") <= s) if s else out
 
 
-def local(centroids: DataFrame) -> DataFrame:
-    """Centroids as rows of the plan: their lineage ends here. They are bounded by BROADCAST_CELLS."""
-    got = centroids.limit(BROADCAST_CELLS).collect()
-    if sum(len(r["cvec"]) for r in got) > BROADCAST_CELLS:
-        raise ValueError("more centroid entries than BROADCAST_CELLS")
-    return centroids.sparkSession.createDataFrame(got, centroids.schema)
-
-
 def seeds(rows: DataFrame, key: str, k: int, vec: str = "embedding", method: str = "k-means++", seed: int = 42) -> DataFrame:
     """(cid int, cvec) of k rows to start from; fewer if there are fewer different rows.
 
@@ -147,21 +139,27 @@ def seeds(rows: DataFrame, key: str, k: int, vec: str = "embedding", method: str
 
 
 def lloyd(rows: DataFrame, centroids: DataFrame, iterations: int, vec: str = "embedding", kind: str = "l2") -> DataFrame:
-    """Centroids after a fixed number of assignments and means."""
-    for _ in range(iterations):
-        centroids = local(updated(centroids, assign(rows, centroids, vec, kind), vec))
-    return centroids
+    """Centroids after a fixed number of assignments and means; an empty cluster keeps its vector.
+
+    The centroids are rows of the plan, so lineage does not grow with the iterations;
+    assign() bounds their size. Each iteration is one shuffle of partial sums.
+    """
+    now = {r.cid: list(r.cvec) for r in centroids.orderBy("cid").collect()}
+    back = lambda: rows.sparkSession.createDataFrame(list(now.items()), "cid int, cvec array<double>")
+    for _ in range(iterations if now else 0):
+        entries = assign(rows, back(), vec, kind).where(F.col(vec).isNotNull()).select("cid", F.posexplode(doubles(F.col(vec))).alias("pos", "x"))
+        for r in entries.groupBy("cid", "pos").agg(F.avg("x").alias("x")).collect():
+            now[r.cid][r.pos] = r.x
+    return back()
 
 
 def kmeans(rows: DataFrame, key: str, k: int, iterations: int = 50, starts: int = 1, vec: str = "embedding", kind: str = "l2", method: str = "k-means++", seed: int = 42) -> DataFrame:
     """(cid, cvec) of the best of several starts by potential."""
-    best, least = None, float("inf")
-    for s in range(starts):
-        c = lloyd(rows, seeds(rows, key, k, vec, method, seed + 1000 * s), iterations, vec, kind)
-        p = potential(assign(rows, c, vec, kind), vec).first().potential
-        if best is None or p < least:
-            best, least = c, p
-    return best
+    runs = [lloyd(rows, seeds(rows, key, k, vec, method, seed + 1000 * s), iterations, vec, kind) for s in range(starts)]
+    if starts == 1:
+        return runs[0]
+    left = [potential(assign(rows, c, vec, kind), vec).first().potential for c in runs]
+    return runs[int(np.argmin(left))]
 
 
 @dataclass
