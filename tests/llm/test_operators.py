@@ -115,6 +115,29 @@ def test_op1_groups(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
 
 
+def test_op1_cluster_is_single_link(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    bases = [[f"b{k}_{i}" for i in range(80)] for k in range(3)]
+    texts = []
+    for _ in range(60):
+        w = list(bases[rng.integers(3)])
+        for at in rng.integers(0, 80, rng.integers(0, 4)):
+            w[at] = f"n{rng.integers(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(76)} for t in texts]
+    label = np.arange(60)
+    for _ in range(60):
+        label = np.array([min(label[j] for j in range(60) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(60)])
+    got = simhash.cluster([t.encode() for t in texts], 5, 0.8)
+    assert len(set(zip(got, label, strict=True))) == len(set(got)) == len(set(label)) > 3
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    whole = {r.id: r.keep_id for r in simhash.groups(docs, distance=20).collect()}
+    assert whole == {i: int(k) for i, k in enumerate(label)}
+    monkeypatch.setattr(simhash, "PART_TEXTS", 10)
+    parts = {r.id: r.keep_id for r in simhash.groups(docs, distance=20).collect()}
+    assert all(label[i] == label[k] for i, k in parts.items()) and len(set(parts.values())) < 45
+
+
 def test_op2_round_trip(spark, messy):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = queries.tokens_of(messy).orderBy("start").collect()

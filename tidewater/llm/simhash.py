@@ -197,62 +197,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _jaccard(a: bytes, b: bytes, words: int) -> float:
-    x, y = (t.lower().split() for t in (a, b))
-    p, q = ({b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (x, y))
-    return len(p & q) / len(p | q)
+def cluster(texts: list[bytes], words: int, similarity: float) -> list[int]:
+    """For each text the number of the text that stands for its group.
+
+    Groups connect texts whose shingles have a Jaccard similarity of `similarity` or
+    more. A text is compared with a group's members until one is similar, first with
+    those that most others were similar to; the first of these stands for the group.
+    """
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({hash(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))})
+    hits = [0] * len(texts)
+    groups: list[list[int]] = []
+    for i, own in enumerate(sets):
+        joined, others = [i], []
+        for members in groups:
+            for at, j in enumerate(members):
+                a, b = (own, sets[j]) if len(own) < len(sets[j]) else (sets[j], own)
+                if len(a) < similarity * len(b):
+                    continue
+                both = len(a & b)
+                if both >= similarity * (len(a) + len(b) - both):
+                    hits[j] += 1
+                    hits[i] += 1
+                    if at and hits[j] > hits[members[at - 1]]:
+                        members[at - 1], members[at] = j, members[at - 1]
+                    joined = members + joined if len(members) >= len(joined) else joined + members
+                    break
+            else:
+                others.append(members)
+        groups = [joined, *others]
+    out = list(range(len(texts)))
+    for members in groups:
+        for j in members:
+            out[j] = members[0]
+    return out
+
+
+#: Bounds of what is compared in one task: bytes of text, and texts.
+PART_BYTES, PART_TEXTS = 8 << 20, 2000
+
+
+def _clustered(words: int, similarity: float):
+    schema = pa.schema([("root", pa.int64()), ("fp", pa.int64()), ("hub", pa.int64()), ("parts", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def solved() -> pa.RecordBatch:
+            hubs = cluster([t for _, t in rows], words, similarity)
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * n), pa.array([f for f, _ in rows]), pa.array([rows[h][0] for h in hubs]), pa.array([now[2]] * n)], schema=schema)
+
+        for b in batches:
+            for root, part, parts, fp, t in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if now != (root, part, parts):
+                    if rows:
+                        yield solved()
+                    now, rows = (root, part, parts), []
+                rows.append((fp, t or b""))
+        if rows:
+            yield solved()
+
+    return run
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 8, similarity: float = 0.8) -> DataFrame:
     """(id, fp, keep_id) of every row: near-duplicates checked on the texts themselves.
 
     Fingerprints are taken over a text's different shingles. Those that differ in
-    `distance` bits or fewer form components, whose row with the least id leads.
-    Rows with the leader's fingerprint, and rows whose shingles have a Jaccard
-    similarity to the leader's of `similarity` or more, belong to the leader
-    (keep_id). The others of a component are linked anew among themselves, until
-    none is left; so each row is similar to the row that stands for it. Of rows that
-    share an id and a fingerprint, each has the same keep_id. A row without an id
-    leads only where its component has no row with one, and then keep_id is null.
+    `distance` bits or fewer form components. Within a component, texts whose
+    shingles have a Jaccard similarity of `similarity` or more are linked; rows whose
+    texts are connected by links, and rows of one fingerprint, are a group, and
+    keep_id is its least id (null if no row has one). A component of more than
+    PART_BYTES or PART_TEXTS is compared in parts, and then the texts that stand for
+    the parts' groups, until one part is left or nothing more is linked.
     """
     own = staged(fingerprints(docs, id_col, text_col, words, distinct=True), "fingerprints")
-    left = staged(own.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
-    done: list[DataFrame] = []
-    pool: DataFrame | None = None
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, lead = b.column("t"), b.column("lead_t")
-            same = [_jaccard(t[i].as_py() or b"", lead[i].as_py() or b"", words) >= similarity for i in range(len(t))]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("lead"), pa.array(same, pa.bool_())], ["fp", "lead", "same"])
-
-    kind = own.schema["id"].dataType.simpleString()
-    while True:
-        group = components(links(left, "fp", distance), "a", "b").select(F.col("node").alias("fp"), "root")
-        rooted = staged(left.join(group, "fp", "left"), "rooted")
-        done.append(rooted.where("root is null").select("fp", F.col("least_id").alias("keep_id")))
-        many = rooted.where("root is not null")
-        if many.isEmpty():
-            break
-        leads = many.groupBy("root").agg(F.min_by(F.struct("fp", "least_id"), F.struct(F.col("least_id").isNull(), "least_id", "fp")).alias("x")).select("root", F.col("x.fp").alias("lead_fp"), F.col("x.least_id").alias("lead"))
-        if pool is None:  # the texts of one row for each class that has a neighbour
-            wanted = many.select("fp", "least_id")
-            held = own.join(wanted.withColumnRenamed("fp", "f"), F.col("fp").eqNullSafe(F.col("f")) & F.col("id").eqNullSafe(F.col("least_id"))).select("fp", "id").distinct()
-            found = texts.join(held, texts.i.eqNullSafe(held.id)).select("fp", "t")
-            pool = staged(found.where(print_of(F.col("t"), words) == F.col("fp")).groupBy("fp").agg(F.first("t").alias("t")), "texts")
-        members = many.join(leads, "root").where("fp != lead_fp").select("fp", "lead_fp", "lead", "least_id")
-        lead_t = pool.select(F.col("fp").alias("lead_fp"), F.col("t").alias("lead_t"))
-        pairs = members.join(pool, "fp").join(lead_t, "lead_fp").select("fp", "lead", "t", "lead_t")
-        judged = staged(pairs.mapInArrow(similar, f"fp long, lead {kind}, same boolean"), "judged")
-        done.append(leads.select(F.col("lead_fp").alias("fp"), F.col("lead").alias("keep_id")))
-        done.append(judged.where("same").select("fp", F.col("lead").alias("keep_id")))
-        left = staged(left.join(judged.where("not same").select("fp"), "fp"), "classes")
-    keep = done[0]
-    for d in done[1:]:
-        keep = keep.unionByName(d)
-    keep = staged(keep.withColumnRenamed("fp", "f"), "keep")
-    return own.join(keep, own.fp == keep.f).select("id", "fp", "keep_id")
+    classes = staged(own.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
+    group = components(links(classes, "fp", distance), "a", "b").select(F.col("node").alias("f"), "root")
+    many = staged(classes.join(group, F.col("fp") == F.col("f")).select("root", "fp", "least_id"), "members")
+    # one text of each class that has a neighbour; where ids repeat, the one with the class's fingerprint
+    wanted = many.select(F.col("least_id").alias("i"), "root", "fp").hint("shuffle_hash")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("i"))).where(print_of(F.col("t"), words) == F.col("fp"))
+    todo = staged(found.groupBy("root", "fp").agg(F.first("t").alias("t")), "texts")
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to, before, turn = None, None, 0
+    while (count := todo.count()) and count != before:
+        sizes = todo.groupBy(F.col("root").alias("r")).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("t") + 64) / PART_BYTES), F.ceil(F.count(F.lit(1)) / PART_TEXTS)).cast("long").alias("parts"))
+        x = todo.join(sizes, F.col("root") == F.col("r")).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(turn)), "parts"))
+        x = x.select("root", "part", "parts", "fp", "t").repartition(n_parts, "root", "part").sortWithinPartitions("root", "part", "fp")
+        step = staged(x.mapInArrow(_clustered(words, similarity), "root long, fp long, hub long, parts long"), "groups")
+        new = step.select(F.col("fp").alias("f"), F.col("hub").alias("h"))
+        to = step.select("fp", "hub") if to is None else to.join(new, F.col("hub") == F.col("f"), "left").select("fp", F.coalesce("h", "hub").alias("hub"))
+        open_ = step.where("parts > 1 and fp = hub").select(F.col("fp").alias("f"))
+        todo, before, turn = staged(todo.join(open_, F.col("fp") == F.col("f"), "left_semi"), "texts"), count, turn + 1
+    if to is None:
+        named = classes.select(F.col("fp").alias("f"), F.col("least_id").alias("keep_id"))
+    else:
+        hubs = classes.join(to.select(F.col("fp").alias("f"), "hub"), F.col("fp") == F.col("f"), "left").select("fp", "least_id", F.coalesce("hub", "fp").alias("hub"))
+        least = hubs.groupBy(F.col("hub").alias("h")).agg(F.min("least_id").alias("keep_id"))
+        named = hubs.join(least, F.col("hub") == F.col("h")).select(F.col("fp").alias("f"), "keep_id")
+    return own.join(staged(named, "named"), F.col("fp") == F.col("f")).select("id", "fp", "keep_id")
 
 
 def print_of(text: Column, words: int) -> Column:
