@@ -1,17 +1,18 @@
 """Passages that repeat across documents, by sparse suffix arrays.
 
 Suffixes are kept only at minimisers: positions whose hash of GRAM words is the least
-of some window of `min_words - GRAM + 1` neighbouring positions. The choice depends on
-nothing but the words, and every run of min_words words has such a position, the same
-one wherever the run occurs. Suffixes whose first GRAM words occur in no other document
-are dropped. The others are sorted, with the words after and before them; neighbours
-tell how far a suffix can match to the right and to the left. Where the two together
+of some window of `min_words - FIRST + 1` neighbouring positions. The choice depends on
+nothing but the words, and every run of min_words words has such a position with FIRST
+words of the run behind it, the same one wherever the run occurs. Suffixes whose FIRST
+words occur in no other document are dropped. The others are sorted, with the words
+after and before them; neighbours tell how far a suffix can match to the right and to
+the left. Where the two together
 reach min_words, the match is extended: for each way to divide the run between left and
 right, suffixes are compared on the whole run. So each run of min_words words
 that another document has is found, and runs that touch are joined to spans.
 
-Suffixes that start with very common words (HOT) are not gathered in one task: each of
-their runs is counted by its hash instead, which combines before the shuffle.
+Suffixes whose FIRST words occur more than HOT times are not gathered in one task: each
+of their runs is counted by its hash instead, which combines before the shuffle.
 
 Defined results
 ---------------
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 
 from tidewater.llm._shared import small_batches, staged
 
-GRAM = 8
+#: Words that choose minimisers, and first words that kept suffixes are told apart by.
+GRAM, FIRST = 8, 29
 #: Suffixes with the same first words from which on they are counted by hash.
-HOT = 20_000
+HOT = 200_000
 #: Bytes of text hashed at a time, and suffixes compared at a time.
 CHUNK, COMPARED = 1 << 20, 20_000
 
@@ -89,23 +91,23 @@ def _slid(x: np.ndarray, n: int, least: bool) -> np.ndarray:
 
 
 def minimisers(words: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes): the minimisers among all words, a position being that of its first word."""
-    window = min_words - GRAM + 1
-    n = len(words) - GRAM + 1
-    if n < window:
+    """(positions, hashes of the first words): the minimisers among all words."""
+    window, n, runs = min_words - FIRST + 1, len(words) - GRAM + 1, len(words) - min_words + 1
+    if runs < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     gram = np.zeros(n, np.uint64)
     for j in range(GRAM):
         gram = gram * np.uint64(_BASE) + words[j : j + n]
     gram = _mix(gram)
     text = np.repeat(np.arange(len(counts)), counts)
-    least = _slid(gram, window, True)
-    whole = text[: len(least)] == text[min_words - 1 :]  # windows within one text
-    least = np.where(whole, least, np.uint64(0))
-    pad = np.zeros(window - 1, np.uint64)
-    best = _slid(np.r_[pad, least, pad], window, False)
+    least = np.where(text[:runs] == text[min_words - 1 :], _slid(gram, window, True)[:runs], np.uint64(0))  # of runs within one text
+    best = _slid(np.r_[np.zeros(window - 1, np.uint64), least, np.zeros(n - runs, np.uint64)], window, False)
     at = np.flatnonzero((best == gram) & (gram > 0))
-    return at, gram[at]
+    at = at[at + FIRST <= len(words)]
+    at = at[text[at] == text[at + FIRST - 1]]
+    up, down = _power(len(words))
+    sums = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)])]
+    return at, _mix((sums[at + FIRST] - sums[at]) * down[at])
 
 
 def _batched(names: list, texts: list[bytes | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -140,11 +142,11 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
 def _contexts(docs: DataFrame, min_words: int) -> DataFrame:
     """(g long, id, pos int, left int, right int, ctx binary): docs' suffixes at `at`, with the words around them.
 
-    ctx has 32 bits of each word from min_words - GRAM before the suffix to min_words
+    ctx has 32 bits of each word from min_words - FIRST before the suffix to min_words
     after its start; left and right tell how many of these the text has.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    before = min_words - GRAM
+    before = min_words - FIRST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,7 +205,7 @@ def compare(group: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndar
     before = ctx.shape[1] - min_words
     r = _reach(group, ctx[:, before:], right)
     after_left = _reach(group, ctx[:, :before][:, ::-1], left) if before else np.zeros(len(group), np.int64)
-    rows = np.flatnonzero((r >= GRAM) & (r + np.maximum(after_left, 0) >= min_words))
+    rows = np.flatnonzero((r >= FIRST) & (r + np.maximum(after_left, 0) >= min_words))
     if not len(rows):
         return (np.zeros(0, np.int64),) * 3
     hashes = _run_hashes(ctx[rows], min_words)
