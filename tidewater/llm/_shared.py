@@ -72,6 +72,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bounded_sample(df: DataFrame, group: str, marks: list[str], rows: int) -> DataFrame:
+    """At most `rows` rows of each group, by a hash of the mark columns; groups are few (classes, languages).
+
+    Counts first give the share of the hash range that holds about four times as many
+    rows, so what is shuffled does not grow with the input.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    share = F.lit(0.0)
+    for g, n in counts.items():
+        share = F.when(F.col(group).eqNullSafe(F.lit(g)), F.lit(min(1.0, 4 * rows / n))).otherwise(share)
+    h = F.xxhash64(F.lit("sample"), *[F.col(c) for c in marks])
+    near = df.withColumn("_h", h).where(F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53)) < share)
+    order = F.row_number().over(Window.partitionBy(group).orderBy("_h", *marks))
+    return near.withColumn("_n", order).where(F.col("_n") <= rows).drop("_h", "_n")
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], into: str, slices: int = 256, coarse: Column | None = None) -> DataFrame:
     """df with column `into`: a gapless number from 0 within each group.
 
