@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm._shared import small_batches
+from tidewater.llm._shared import bounded_sample, small_batches
 
 ORDER = 3
 #: Bound of the training sample: rows of each language, none longer than TRAIN_BYTES.
@@ -136,9 +136,9 @@ def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], list[fl
 def training_texts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_col: str = "doc_id", rows: int = TRAIN_ROWS) -> dict[str, list[bytes]]:
     """A bounded sample by hashed order: `rows` rows of each language, each at most TRAIN_BYTES long."""
     fit = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0) & (F.octet_length(text_col) <= TRAIN_BYTES))
-    fit = fit.select(F.col(lang_col).alias("l"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(order_col).alias("h"))
+    fit = fit.select(F.col(lang_col).alias("l"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(order_col, text_col).alias("h"))
     out: dict[str, list[bytes]] = {}
-    for r in fit.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= rows).orderBy("l", "n").toLocalIterator():
+    for r in bounded_sample(fit, "l", ["h"], rows).orderBy("l", "h", "t").toLocalIterator():
         out.setdefault(r.l, []).append(bytes(r.t))
     return out
 
