@@ -23,10 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm._shared import small_batches
+from tidewater.llm._shared import bounded_sample, small_batches
 
 #: Bounds: labelled rows of each class that are learnt from, their longest, and a dictionary's bytes.
 TRAIN_ROWS, TRAIN_BYTES, DICT_BYTES = 1200, 20_000, 112_640
@@ -101,11 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("y in (0, 1)")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     share = texts.select("id").join(known, F.col("id") == F.col("i")).agg(F.avg("y").alias("p")).first().p
-    hashed = known.withColumn("h", F.xxhash64("i"))
     texts = texts.where((F.octet_length("t") > 0) & (F.octet_length("t") <= TRAIN_BYTES))
-    ids = texts.select("id").join(hashed, F.col("id") == F.col("i")).withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "i"))).where(F.col("n") <= TRAIN_ROWS).select("i", "y", "n")
+    labelled = texts.select("id").join(known, F.col("id") == F.col("i")).select("i", "y").distinct()
+    ids = bounded_sample(labelled, "y", ["i"], TRAIN_ROWS)
     got: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in texts.join(F.broadcast(ids), F.col("id") == F.col("i")).orderBy("y", "n", "t").select("y", "t").toLocalIterator():
+    for r in texts.join(F.broadcast(ids), F.col("id") == F.col("i")).orderBy("y", F.xxhash64("i"), "i", "t").select("y", "t").toLocalIterator():
         got[int(r.y)].append(bytes(r.t))
     return train(got[1], got[0], 0.5 if share is None else float(share))
 
