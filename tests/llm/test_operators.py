@@ -115,6 +115,22 @@ def test_op1_groups(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
 
 
+def test_op1_groups_find_every_pair_near_the_least_similarity(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for n, changed in [(100, 1), (100, 2), (60, 1), (1000, 20), (300, 3), (12, 0), (9, 0)] * 20:
+        w = [f"g{rng.integers(10**9)}" for _ in range(n)]
+        v = list(w)
+        for at in np.linspace(5, n - 6, changed).astype(int) if changed else []:
+            v[at] = "changed"
+        texts += [" ".join(w), " ".join(v if changed else v[:-1])]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    jaccard = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(0.8 <= j <= 0.96 for j in jaccard)
+    got = {r.id: r.keep_id for r in simhash.groups(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_op1_cluster_is_single_link(spark, monkeypatch):
     rng = np.random.default_rng(3)
     bases = [[f"b{k}_{i}" for i in range(80)] for k in range(3)]

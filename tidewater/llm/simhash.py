@@ -1,5 +1,7 @@
 """SimHash near-duplicates: pigeonhole blocks find pairs of close fingerprints, components group them.
 
+groups() is by the similarity of the texts' shingles instead; MinHash bands find its candidates.
+
 Defined results
 ---------------
 * null and empty texts, and texts of spaces only, have fingerprint zero and link to it;
@@ -12,6 +14,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -30,6 +33,14 @@ DIRECT = 2048
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
+def _hashes(w: list[bytes], words: int) -> np.ndarray:
+    """The hash of each shingle; of all words, if they are fewer than a shingle has."""
+    joined, xx = b" ".join(w), xxhash.xxh64_intdigest
+    ends = [e + i for i, e in enumerate(accumulate(map(len, w)))]
+    starts = [0, *(e + 1 for e in ends[: max(0, len(w) - words)])]
+    return np.array([xx(joined[s:e], SEED) for s, e in zip(starts, ends[min(words, len(w)) - 1 :], strict=True)], dtype="<u8")
+
+
 def fingerprint(text: bytes | None, words: int, distinct: bool = False) -> int:
     """The fingerprint of one text (UTF-8), as an unsigned number."""
     w = (text or b"").lower().split()
@@ -37,10 +48,7 @@ def fingerprint(text: bytes | None, words: int, distinct: bool = False) -> int:
         return 0
     if len(w) <= words:
         return xxhash.xxh64_intdigest(b" ".join(w), SEED)
-    joined, xx = b" ".join(w), xxhash.xxh64_intdigest
-    ends = [e + i for i, e in enumerate(accumulate(map(len, w)))]
-    starts = [0, *(e + 1 for e in ends[: len(w) - words])]
-    h = np.array([xx(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :], strict=True)], dtype="<u8")
+    h = _hashes(w, words)
     if distinct:
         h = np.unique(h)
     octets = h.view(np.uint8).reshape(-1, 8)
@@ -263,20 +271,112 @@ def _clustered(words: int, similarity: float):
     return run
 
 
+#: Chance, for two texts at the least similarity, that they share no band; less for any that are more similar.
+MISS = 1e-7
+
+
+def banding(similarity: float) -> tuple[int, int]:
+    """(bands, least hashes in a band) of the signatures for a similarity.
+
+    Two sets have the same least hash with a chance of their Jaccard similarity, so
+    they share one of the bands at least with a chance of 1 - (1 - s^rows)^bands.
+    """
+    if similarity >= 1:
+        return 1, 1
+    rows = max(1, round(math.log(0.26) / math.log(similarity)))
+    return math.ceil(math.log(MISS) / math.log1p(-(similarity**rows))), rows
+
+
+def shingle_print(text: bytes | None, words: int) -> tuple[int, np.ndarray]:
+    """A fingerprint of the set of a text's shingles, equal for equal sets, and the shingles' hashes."""
+    w = (text or b"").lower().split()
+    if not w:
+        return 0, np.zeros(0, np.uint64)
+    h = np.unique(_hashes(w, words))
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED), h
+
+
+def _bands(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key for each band of a signature: a hash of `rows` least hashes, each under its own mixing."""
+    rng = np.random.default_rng(SEED)
+    flip = rng.integers(0, 2**32, (bands * rows, 1), dtype=np.uint32)
+    odd = rng.integers(0, 2**32, (bands * rows, 1), dtype=np.uint32) | np.uint32(1)
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(bands * rows, 2**32 - 1, np.uint32)
+    for at in range(0, len(x), 512):
+        least = np.minimum(least, ((x[at : at + 512] ^ flip) * odd).min(1))
+    mult = rng.integers(0, 2**63, (1, rows), dtype=np.uint64) | np.uint64(1)
+    key = (least.reshape(bands, rows) * mult).sum(1, dtype=np.uint64) + rng.integers(0, 2**63, bands, dtype=np.uint64)
+    return ((key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(id, fp long, n int, bands array<long>) of every row: the shingle set's fingerprint, size and bands.
+
+    Bands are empty for sets so small that no other set is similar to them.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    bands, rows = banding(similarity)
+    # one shingle more or less is the least that two different sets differ in
+    least = math.inf if similarity >= 1 else similarity / (1 - similarity) - 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_print(t.as_py(), words) for t in b.column(1)]
+            fps = np.array([f for f, _ in found], dtype=np.uint64).view(np.int64)
+            keys = [_bands(h, bands, rows) if len(h) >= least else [] for _, h in found]
+            n = pa.array([len(h) for _, h in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), n, pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "n", "bands"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, n int, bands array<long>")
+
+
+def _chained(similarity: float):
+    """Links of the rows of one key, sorted by size, each to the first row of a run without a gap in sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, size, first = None, 0, 0
+        for b in batches:
+            k, n, f = (b.column(c).to_numpy() for c in range(3))
+            if not len(k):
+                continue
+            on = np.r_[key is not None and k[0] == key and size >= similarity * n[0], (k[1:] == k[:-1]) & (n[:-1] >= similarity * n[1:])]
+            start = np.maximum.accumulate(np.where(on, -1, np.arange(len(k))))
+            to = np.where(start < 0, first, f[start])
+            key, size, first = k[-1], n[-1], to[-1]
+            moved = on & (to != f)
+            yield pa.RecordBatch.from_arrays([pa.array(f[moved]), pa.array(to[moved])], ["a", "b"])
+
+    return run
+
+
+def candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all fingerprints of (fp, n, bands) that share a band and may be similar by size."""
+    rows = classes.select(F.explode("bands").alias("k"), "n", "fp")
+    n_parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n_parts, "k").sortWithinPartitions("k", "n", "fp")
+    return dealt.mapInArrow(_chained(similarity), "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 8, similarity: float = 0.8) -> DataFrame:
     """(id, fp, keep_id) of every row: near-duplicates checked on the texts themselves.
 
-    Fingerprints are taken over a text's different shingles. Those that differ in
-    `distance` bits or fewer form components. Within a component, texts whose
-    shingles have a Jaccard similarity of `similarity` or more are linked; rows whose
-    texts are connected by links, and rows of one fingerprint, are a group, and
-    keep_id is its least id (null if no row has one). A component of more than
+    fp tells a text's set of shingles. Sets that share a band of their signatures form
+    components; a pair at `similarity` shares none with a chance of MISS, whatever
+    the length of the texts, and a more similar one with less. Within a component,
+    texts whose shingles have a Jaccard similarity of `similarity` or more are linked;
+    rows whose texts are connected by links, and rows of one fingerprint, are a group,
+    and keep_id is its least id (null if no row has one). `distance` is taken for
+    older calls only: no pair is left out by it. A component of more than
     PART_BYTES or PART_TEXTS is compared in parts, and then the texts that stand for
     the parts' groups, until one part is left or nothing more is linked.
     """
-    own = staged(fingerprints(docs, id_col, text_col, words, distinct=True), "fingerprints")
-    classes = staged(own.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
-    group = components(links(classes, "fp", distance), "a", "b").select(F.col("node").alias("f"), "root")
+    signed = staged(signatures(docs, id_col, text_col, words, similarity), "fingerprints")
+    own = signed.select("id", "fp")
+    sets = staged(signed.groupBy("fp").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = sets.select("fp", "least_id")
+    group = components(candidates(sets, similarity), "a", "b").select(F.col("node").alias("f"), "root")
     many = staged(classes.join(group, F.col("fp") == F.col("f")).select("root", "fp", "least_id"), "members")
     # one text of each class that has a neighbour; where ids repeat, the one with the class's fingerprint
     wanted = many.select(F.col("least_id").alias("i"), "root", "fp").hint("shuffle_hash")
@@ -304,10 +404,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def print_of(text: Column, words: int) -> Column:
-    """The fingerprint over a text's different shingles, for the few rows of which it is asked for again."""
+    """The fingerprint of a text's set of shingles, for the few rows of which it is asked for again."""
 
     @F.pandas_udf("long")
     def run(t: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, words, True) for x in t], dtype=np.uint64).view(np.int64))
+        return pd.Series(np.array([shingle_print(x, words)[0] for x in t], dtype=np.uint64).view(np.int64))
 
     return run(text.cast("binary"))
