@@ -115,6 +115,21 @@ def test_op1_groups(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
 
 
+def test_op1_groups_in_parts_are_those_of_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts, w = [], [f"c{i}" for i in range(60)]
+    for k in range(60):  # a chain: each text is similar to the one before it and the one behind it only
+        w[k * 37 % 60] = f"n{rng.integers(10**9)}"
+        texts.append(" ".join(w))
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    whole = {r.id: r.keep_id for r in simhash.groups(docs, distance=20).collect()}
+    assert set(whole.values()) == {0}
+    for name, bound in [("PART_TEXTS", 7), ("PART_BYTES", 3000)]:
+        with monkeypatch.context() as m:
+            m.setattr(simhash, name, bound)
+            assert {r.id: r.keep_id for r in simhash.groups(docs, distance=20).collect()} == whole
+
+
 def test_op1_groups_find_every_pair_near_the_least_similarity(spark):
     rng = np.random.default_rng(11)
     texts = []

@@ -243,27 +243,25 @@ def cluster(texts: list[bytes], words: int, similarity: float) -> list[int]:
     return out
 
 
-#: Bounds of what is compared in one task: bytes of text, and texts.
+#: Bounds of what is compared at once: bytes of text, and texts.
 PART_BYTES, PART_TEXTS = 8 << 20, 2000
 
 
 def _clustered(words: int, similarity: float):
-    schema = pa.schema([("root", pa.int64()), ("fp", pa.int64()), ("hub", pa.int64()), ("parts", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def solved() -> pa.RecordBatch:
             hubs = cluster([t for _, t in rows], words, similarity)
-            n = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array([now[0]] * n), pa.array([f for f, _ in rows]), pa.array([rows[h][0] for h in hubs]), pa.array([now[2]] * n)], schema=schema)
+            moved = [(f, rows[h][0]) for (f, _), h in zip(rows, hubs, strict=True) if f != rows[h][0]]
+            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in moved], pa.int64()) for i in (0, 1)], ["fp", "hub"])
 
         for b in batches:
-            for root, part, parts, fp, t in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                if now != (root, part, parts):
+            for *block, fp, t in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if now != block:
                     if rows:
                         yield solved()
-                    now, rows = (root, part, parts), []
+                    now, rows = block, []
                 rows.append((fp, t or b""))
         if rows:
             yield solved()
@@ -271,6 +269,22 @@ def _clustered(words: int, similarity: float):
     return run
 
 
+def similar(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(fp, hub): links that connect the same texts of (root, fp, t) as all similar pairs of one root do.
+
+    The texts of a root of more than PART_BYTES or PART_TEXTS are dealt to parts of
+    half that, and every two parts are compared together, so every pair meets.
+    """
+    n_parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = F.greatest(F.sum(F.length("t") + 64) / PART_BYTES, F.count(F.lit(1)) / PART_TEXTS)
+    sizes = texts.groupBy(F.col("root").alias("r")).agg(full.alias("full"))
+    parts = F.when(F.col("full") <= 1, 1).otherwise(F.ceil(2 * F.col("full"))).cast("long")
+    dealt = texts.join(sizes.select("r", parts.alias("parts")), F.col("root") == F.col("r")).withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).where("parts = 1 or other != part")
+    blocks = met.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp", "t")
+    return blocks.repartition(n_parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "fp").mapInArrow(_clustered(words, similarity), "fp long, hub long")
+
+
 #: Chance, for two texts at the least similarity, that they share no band; less for any that are more similar.
 MISS = 1e-7
 
@@ -368,9 +382,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     texts whose shingles have a Jaccard similarity of `similarity` or more are linked;
     rows whose texts are connected by links, and rows of one fingerprint, are a group,
     and keep_id is its least id (null if no row has one). `distance` is taken for
-    older calls only: no pair is left out by it. A component of more than
-    PART_BYTES or PART_TEXTS is compared in parts, and then the texts that stand for
-    the parts' groups, until one part is left or nothing more is linked.
+    older calls only: no pair is left out by it. Components of any size are compared
+    in full.
     """
     signed = staged(signatures(docs, id_col, text_col, words, similarity), "fingerprints")
     own = signed.select("id", "fp")
@@ -383,23 +396,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     found = texts.join(wanted, F.col("id").eqNullSafe(F.col("i"))).where(print_of(F.col("t"), words) == F.col("fp"))
     todo = staged(found.groupBy("root", "fp").agg(F.first("t").alias("t")), "texts")
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    to, before, turn = None, None, 0
-    while (count := todo.count()) and count != before:
-        sizes = todo.groupBy(F.col("root").alias("r")).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("t") + 64) / PART_BYTES), F.ceil(F.count(F.lit(1)) / PART_TEXTS)).cast("long").alias("parts"))
-        x = todo.join(sizes, F.col("root") == F.col("r")).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(turn)), "parts"))
-        x = x.select("root", "part", "parts", "fp", "t").repartition(n_parts, "root", "part").sortWithinPartitions("root", "part", "fp")
-        step = staged(x.mapInArrow(_clustered(words, similarity), "root long, fp long, hub long, parts long"), "groups")
-        new = step.select(F.col("fp").alias("f"), F.col("hub").alias("h"))
-        to = step.select("fp", "hub") if to is None else to.join(new, F.col("hub") == F.col("f"), "left").select("fp", F.coalesce("h", "hub").alias("hub"))
-        open_ = step.where("parts > 1 and fp = hub").select(F.col("fp").alias("f"))
-        todo, before, turn = staged(todo.join(open_, F.col("fp") == F.col("f"), "left_semi"), "texts"), count, turn + 1
-    if to is None:
-        named = classes.select(F.col("fp").alias("f"), F.col("least_id").alias("keep_id"))
-    else:
-        hubs = classes.join(to.select(F.col("fp").alias("f"), "hub"), F.col("fp") == F.col("f"), "left").select("fp", "least_id", F.coalesce("hub", "fp").alias("hub"))
-        least = hubs.groupBy(F.col("hub").alias("h")).agg(F.min("least_id").alias("keep_id"))
-        named = hubs.join(least, F.col("hub") == F.col("h")).select(F.col("fp").alias("f"), "keep_id")
+    to = components(similar(todo, words, similarity), "fp", "hub").select(F.col("node").alias("f"), F.col("root").alias("hub"))
+    hubs = classes.join(to, F.col("fp") == F.col("f"), "left").select("fp", "least_id", F.coalesce("hub", "fp").alias("hub"))
+    least = hubs.groupBy(F.col("hub").alias("h")).agg(F.min("least_id").alias("keep_id"))
+    named = hubs.join(least, F.col("hub") == F.col("h")).select(F.col("fp").alias("f"), "keep_id")
     return own.join(staged(named, "named"), F.col("fp") == F.col("f")).select("id", "fp", "keep_id")
 
 
