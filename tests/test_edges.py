@@ -250,3 +250,23 @@ def test_linear_probe(spark, tmp_path):
     probe.save(probe.fit(df, "v", "c"), str(tmp_path / "m"))
     got = probe.predict(df.where("k < 30"), probe.load(str(tmp_path / "m")), "v").collect()
     assert all(r.pred == r.c for r in got) and len(got) == 30
+
+
+def test_seeds_are_drawn_from_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "SEED_CELLS", 40, raising=False)  # the bound of the sample that was drawn from
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, (200, 2)), rng.normal(50, 1, (200, 2)), rng.normal(1000, 1, (3, 2))])
+    df = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "k long, embedding array<double>").repartition(7)
+    for step in (64, 1):
+        monkeypatch.setattr(kmeans, "SEED_STEP", step, raising=False)
+        for seed in range(3):
+            got = sorted(r.cvec[0] for r in kmeans.seeds(df, "k", 3, seed=seed).collect())
+            assert got[0] < 10 and 40 < got[1] < 60 and got[2] > 990
+    assert kmeans.seeds(df.limit(1).union(df.limit(1)), "k", 3).count() == 1
+
+
+def test_seed_draws_have_their_odds(spark):
+    df = spark.createDataFrame([(i, [float(i % 4)]) for i in range(4000)], "key long, v array<double>").withColumn("near", F.lit(float("inf")))
+    got = kmeans._draws(df, np.array([[0.0]]), 400, 5)[:, 0]
+    assert np.allclose([(got == i).mean() for i in range(4)], [0, 1 / 14, 4 / 14, 9 / 14], atol=0.08)
+    assert kmeans._left(df, np.array([[0.0]]), np.array([[3.0], [1.0]])) == [2000.0, 5000.0]

@@ -6,6 +6,7 @@ BROADCAST_CELLS numbers, and joined in blocks by Arrow batches beyond.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,8 +22,8 @@ from tidewater.operators.work import cut
 
 #: Numbers of all centroids up to which they are one literal of the plan, and up to which they are broadcast.
 LITERAL_CELLS, BROADCAST_CELLS = 20_000, 50_000_000
-#: Numbers that k-means++ draws from on the driver.
-SEED_CELLS = 2_000_000
+#: Centres that k-means++ chooses before the distances to the nearest are written anew.
+SEED_STEP = 64
 
 
 def assign(rows: DataFrame, centroids: DataFrame, vec: str = "embedding", kind: str = "l2", cid: str = "cid", cvec: str = "cvec") -> DataFrame:
@@ -111,31 +112,90 @@ def closest(assigned: DataFrame, key: str, s: int | None = None, cid: str = "cid
     return out.where(F.col("rank") <= s) if s else out
 
 
+def _nearest(b: pa.RecordBatch, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's vectors (column v), and the squared distance of each to the nearest centre (column near counts too)."""
+    x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+    near = b.column("near").to_numpy(zero_copy_only=False)
+    for c in centres:
+        near = np.minimum(near, ((x - c) ** 2).sum(1))
+    return x, near
+
+
+def _draws(table: DataFrame, centres: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n rows' vectors, each drawn from all rows with odds in proportion to near; none if all are at a centre.
+
+    A row's time is exponential with rate near, by a hash of its key; the first one is drawn.
+    """
+    hashed = table.select("v", "near", *[F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(t), F.col("key")), 11).alias(f"h{t}") for t in range(n)], "key")
+    kind = hashed.schema["key"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list = [(np.inf, None, None)] * n
+        for b in batches:
+            x, near = _nearest(b, centres)
+            for t in range(n):
+                u = (b.column(f"h{t}").to_numpy(zero_copy_only=False) + 0.5) / 2.0**53
+                time = np.divide(-np.log(u), near, out=np.full(len(x), np.inf), where=near > 0)
+                at = int(time.argmin()) if len(x) else 0
+                if len(x) and time[at] < best[t][0]:
+                    best[t] = (time[at], b.column("key")[at].as_py(), x[at].tolist())
+        got = [(t, *r) for t, r in enumerate(best) if r[2] is not None]
+        types = [pa.int32(), pa.float64(), to_arrow_type(kind), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], y) for i, y in enumerate(types)], ["t", "time", "key", "v"])
+
+    firsts = hashed.mapInArrow(run, f"t int, time double, key {kind.simpleString()}, v array<double>")
+    got = firsts.groupBy("t").agg(F.min(F.struct("time", "key", "v")).alias("r")).orderBy("t").collect()
+    return np.array([g.r.v for g in got], dtype=np.float64)
+
+
+def _left(table: DataFrame, centres: np.ndarray, draws: np.ndarray) -> list[float]:
+    """For each draw the sum over all rows of the squared distance to the nearest of the centres and the draw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(draws))
+        for b in batches:
+            x, near = _nearest(b, centres)
+            sums += [np.minimum(near, ((x - d) ** 2).sum(1)).sum() for d in draws]
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    parts = table.select("v", "near").mapInArrow(run, "sums array<double>").collect()
+    return [math.fsum(p.sums[t] for p in parts) for t in range(len(draws))]
+
+
+def _renewed(table: DataFrame, centres: np.ndarray) -> DataFrame:
+    """table with near up to these centres too."""
+    kind = table.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("v"), pa.array(_nearest(b, centres)[1], pa.float64())], ["key", "v", "near"])
+
+    return cut(table.select("key", "v", "near").mapInArrow(run, f"key {kind}, v array<double>, near double"))
+
+
 def seeds(rows: DataFrame, key: str, k: int, vec: str = "embedding", method: str = "k-means++", seed: int = 42) -> DataFrame:
     """(cid int, cvec) of k rows to start from; fewer if there are fewer different rows.
 
-    random: by hashed order. k-means++: each next one is drawn with odds in
-    proportion to its squared distance from those before, the best of 2 + ln k draws
-    by the potential it leaves. It draws from the first rows by hashed order, as many
-    as have SEED_CELLS entries together.
+    random: by hashed order. k-means++: each next one is drawn from all rows with odds
+    in proportion to their squared distance from those before, the best of 2 + ln k
+    draws by the potential it leaves over all rows. Each takes two passes over the
+    rows; only the chosen and the drawn are on the driver.
     """
     if method not in ("random", "k-means++"):
         raise ValueError(f"unknown seeding {method!r}")
-    some = rows.where(F.col(vec).isNotNull()).orderBy(uniform(seed, F.col(key)), key).select(doubles(F.col(vec)).alias("v"))
-    first = some.limit(1).collect()
-    n = k if method == "random" else max(k, SEED_CELLS // max(1, len(first[0].v))) if first else 0
-    x = np.array([r.v for r in some.limit(n).collect()], dtype=np.float64) if n else np.zeros((0, 0))
-    if method == "k-means++" and len(x):
-        rng, chosen = np.random.default_rng(seed), [0]
-        near = ((x - x[0]) ** 2).sum(1)
-        while len(chosen) < k and near.sum() > 0:
-            draws = np.searchsorted(np.cumsum(near), rng.random(2 + int(np.log(k))) * near.sum(), side="right").clip(max=len(x) - 1)
-            left = [np.minimum(near, ((x - x[d]) ** 2).sum(1)) for d in draws]
-            best = int(np.argmin([p.sum() for p in left]))
-            near = left[best]
-            chosen.append(int(draws[best]))
-        x = x[chosen]
-    return rows.sparkSession.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "cid int, cvec array<double>")
+    some = rows.where(F.col(vec).isNotNull()).select(F.col(key).alias("key"), doubles(F.col(vec)).alias("v"))
+    table = cut(some.withColumn("near", F.lit(float("inf")))) if method == "k-means++" else some
+    first = table.orderBy(uniform(seed, F.col("key")), "key").limit(k if method == "random" else 1).select("v").collect()
+    chosen, written = [np.array(r.v, dtype=np.float64) for r in first], 0
+    while method == "k-means++" and 0 < len(chosen) < k:
+        if len(chosen) - written >= SEED_STEP:
+            table, written = _renewed(table, np.array(chosen[written:])), len(chosen)
+        new = np.array(chosen[written:]).reshape(-1, len(chosen[0]))
+        drawn = _draws(table, new, 2 + int(np.log(k)), seed + 1_000_003 * len(chosen))
+        if not len(drawn):
+            break
+        chosen.append(drawn[int(np.argmin(_left(table, new, drawn)))])
+    return rows.sparkSession.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(chosen)], "cid int, cvec array<double>")
 
 
 def lloyd(rows: DataFrame, centroids: DataFrame, iterations: int, vec: str = "embedding", kind: str = "l2") -> DataFrame:
