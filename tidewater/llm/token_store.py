@@ -2,35 +2,46 @@
 
 A token file is a table of segments. A segment holds whole documents and is cut into
 blocks of BLOCK ids. Every block starts from the same state, so any block decodes on
-its own, and has a checksum of its ids. All blocks of a segment are coded in step:
+its own, and has a checksum of its ids. Many blocks of a segment are coded in step:
 one vector operation does the same step of each block.
 
-The model of a block
---------------------
-* order 2: the id that last followed the two ids before, and how often it has been right;
-* order 1: the id that last followed the id before, likewise;
-* order 0: adaptive frequencies of 224 ranges of ids.
+The model
+---------
+Ids fall into 256 groups by frequency: the 192 most frequent ids are groups of their
+own, the others share 64 groups of like weight. An id is coded as its group and then,
+where the group has more members, as the member.
 
-One symbol tells whether the order-2 id follows, the order-1 id, or another. Its odds
-mix two adaptive estimates, one by how far orders 2 and 1 are to be trusted and
-whether they agree, the other by which order foretold the id before. Any other id is
-coded by its range's order-0 frequency, and its place in the range with equal ones.
+* order 0: the segment's frequency of each id, as that of its group times its own
+  within the group;
+* order 1: the segment's frequencies of groups behind the group before;
+* order 2: the group that last followed the two before, in this block.
+
+The segment's head has the order-0 and order-1 counts that all its blocks start
+from; counts are rounded to four bits, and order 1 is left out where it would cost
+more than it saves. A group's interval is cut from the weighted sum of the three
+orders' cumulative frequencies. The weights are learnt within a block, id by id:
+order 2's from how often it was right lately, for each length of its latest run of
+hits; order 1's against order 0's by the likelihood that either gave the id.
 
 Defined results
 ---------------
 * a null or empty text is the end id alone; special tokens in a text are encoded as
   the tokenizer does by itself;
+* texts of any length are encoded whole; a segment's blocks are coded LANES at a
+  time at most, so a long document needs no more memory than its ids;
 * documents stand in ascending id order, null ids first; rows of one id by a hash
   of their text; repeated rows are written as often as they occur;
-* a payload whose header or ids do not match their checksums raises ValueError;
+* a payload whose header, words or ids do not match their checksums raises ValueError;
 * an empty table gives an empty table of segments; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,261 +52,377 @@ from tokenizers import Tokenizer
 from tidewater.llm._shared import small_batches, staged
 
 END = 2
-#: Ids of a block; ids after which a segment ends with its document.
-BLOCK, SEGMENT = 1024, 1 << 21
-MAGIC, VERSION = b"TWTK", 1
-_HEAD = struct.Struct("<4sBHQI")
-
-#: First ids of the ranges, 16 parts each; common ids are low in a merge-ordered vocabulary.
-RANGES = np.array([0, 256, 512, 768, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 24576, 65536])
-_STARTS = np.concatenate([a + (b - a) // 16 * np.arange(16) for a, b in zip(RANGES[:-1], RANGES[1:], strict=True)])
-_SIZES = np.diff(np.r_[_STARTS, 65536])
-_PART_OF = np.searchsorted(_STARTS, np.arange(65536), side="right") - 1
-#: An id's share of its part's interval, of 65536 in all.
-_PLACE = np.arange(65536) - _STARTS[_PART_OF]
-_FROM, _TO = ((_PLACE + k << 16) // _SIZES[_PART_OF] for k in (0, 1))
-_PARTS, _ROW = len(_STARTS), 256
-#: Steps between two tables of order-0 frequencies, what an occurrence adds, and how fast odds adapt.
-_EVERY, _GAIN, _RATE = 32, 24, 4
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-_16, _48, _0 = np.uint64(16), np.uint64(48), np.uint64(0)
-_ONES = np.uint64((1 << 40) - 1)
-_H1, _H2 = 1024, 2048
-
-
-def _slots(last: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a block's order-1 and order-2 tables keep what followed these ids."""
-    return last * 40503 >> 3 & _H1 - 1, (last * 40503 ^ last2 * 60493) >> 4 & _H2 - 1
-
-
-class _Model:
-    """The state of `lanes` blocks that are coded in step. Odds are of 32768, frequencies of 65536."""
-
-    def __init__(self, lanes: int) -> None:
-        self.lanes, self.steps = lanes, 0
-        lane = np.arange(lanes)
-        # an entry holds the id that followed and, above it, how often running it has been right (3 at most)
-        self.seen1, self.seen2 = np.zeros(lanes * _H1, np.int32), np.zeros(lanes * _H2, np.int32)
-        self.base1, self.base2, self.base_t, self.base_k, self.base_row = lane * _H1, lane * _H2, lane * 64, lane * 6, lane * _ROW
-        self.by_trust, self.by_kind = np.full(lanes * 64, 4096, np.int32), np.full(lanes * 6, 4096, np.int32)
-        self.kind = np.full(lanes, 2)
-        self.counts = np.zeros((lanes, _PARTS), np.int32)
-        self.flat, self.base_c = self.counts.reshape(-1), lane * _PARTS
-        self.table = np.full((lanes, _ROW), 65536, np.int64)
-        self.rows = self.table.reshape(-1)
-
-    def predict(self, slot1: np.ndarray, slot2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the intervals of the order-2 and of the order-1 id."""
-        if self.steps % _EVERY == 0:
-            self.tabulate()
-        self.steps += 1
-        self.i1, self.i2 = self.base1 + slot1, self.base2 + slot2
-        s1, s2 = self.seen1[self.i1], self.seen2[self.i2]
-        self.p1, self.p2, self.t1, self.t2 = s1 & 0xFFFF, s2 & 0xFFFF, s1 >> 16, s2 >> 16
-        self.agree = self.p1 == self.p2
-        at = self.base_t + ((self.t2 << 4) + (self.t1 << 2) + (self.agree << 1))
-        at_k = self.base_k + (self.kind << 1)
-        self.at = (at, at_k, at + 1, at_k + 1)
-        self.odds = (self.by_trust[at], self.by_kind[at_k], self.by_trust[at + 1], self.by_kind[at_k + 1])
-        two = np.minimum(np.maximum(self.odds[0] + self.odds[1], 64), 64000)
-        one = np.minimum(np.maximum(self.odds[2] + self.odds[3], 64), 64000)
-        return two, two + ((65536 - two) * one.astype(np.int64) >> 16)
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, rest: np.ndarray, part: np.ndarray) -> None:
-        """ids: what followed; kind: 0 if order 2, 1 if order 1 foretold it, else 2; rest, part: lanes of kind 2 and their parts."""
-        hit2, hit1 = kind == 0, kind == 1
-        a, b, c, d = self.odds
-        self.by_trust[self.at[0]] = a + ((np.where(hit2, 32700, 0) - a) >> _RATE)
-        self.by_kind[self.at[1]] = b + ((np.where(hit2, 32700, 0) - b) >> _RATE)
-        self.by_trust[self.at[2]] = np.where(hit2, c, c + ((np.where(hit1, 32700, 0) - c) >> _RATE))
-        self.by_kind[self.at[3]] = np.where(hit2, d, d + ((np.where(hit1, 32700, 0) - d) >> _RATE))
-        self.seen1[self.i1] = ids + (np.where(self.p1 == ids, np.minimum(self.t1 + 1, 3), 0) << 16)
-        self.seen2[self.i2] = ids + (np.where(hit2, np.minimum(self.t2 + 1, 3), 0) << 16)
-        self.flat[self.base_c[rest] + part] += _GAIN
-        self.kind = kind
-
-    def tabulate(self) -> None:
-        """Order-0 frequencies from the counts so far: at least 8 for each part, the rest in proportion."""
-        sums = np.cumsum(self.counts + 4, axis=1, dtype=np.int64)
-        self.table[:, 0] = 0
-        self.table[:, 1 : _PARTS + 1] = sums * (65536 - 8 * _PARTS) // sums[:, -1:] + 8 * np.arange(1, _PARTS + 1)
-
-
-def _narrow(low: np.ndarray, width: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unit = width >> _16
-    start = start.astype(np.uint64)
-    return low + unit * start, unit * (end.astype(np.uint64) - start)
-
-
-def _settled(go: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes of `go` whose top 16 bits are out, and their widths; a width that gets too small is cut to end at a boundary."""
-    lo, wi = low[go], width[go]
-    small = wi < _BOTTOM
-    on = np.flatnonzero(((lo ^ (lo + wi)) < _TOP) | small)
-    lo, wi = lo[on], wi[on]
-    return go[on], np.where(small[on] & ((lo ^ (lo + wi)) >= _TOP), (_0 - lo) & _ONES, wi)
-
-
-def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, counts) for rows of ids: each block's 16-bit words, one block after the other, and their number."""
+#: Ids of a block; blocks that are coded in step at most; ids after which a segment ends with its document.
+BLOCK, LANES, SEGMENT = 1024, 8192, 1 << 22
+MAGIC, VERSION = b"TWTK", 2
+_HEAD = struct.Struct("<4sBHQIII")
+
+_SINGLES, _GROUPS = 192, 256
+#: The sum of all frequencies, and that of a table, which each group gets one more than.
+_ALL, _TABLE = 1 << 16, (1 << 16) - _GROUPS
+#: Weights of order 1 that tables are mixed for; slots of a block's order-2 table; how fast weights adapt.
+_LEVELS, _SLOTS, _RATE, _GAIN = 16, 1024, np.float32(1 / 64), 5
+_2_16, _2_32, _2_48 = 2.0**16, 2.0**32, 2.0**48
+
+
+def _coarse(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes: four significant bits and an exponent."""
+    e = np.maximum(np.frexp(n.astype(np.float64))[1] - 4, 0)
+    return (8 * e + (n >> e)).astype(np.uint8)
+
+
+def _counts_of(q: np.ndarray) -> np.ndarray:
+    q = q.astype(np.int64)
+    e = np.maximum(q // 8 - 1, 0)
+    return np.where(q < 16, q, (8 + q % 8) << e)
+
+
+class Tables:
+    """The frequencies that a segment's blocks start from.
+
+    alphabet: the segment's ids, most frequent first; counts: theirs, not rising;
+    follow: [group, group] counts of what follows what, if any.
+    """
+
+    def __init__(self, alphabet: np.ndarray, counts: np.ndarray, follow: np.ndarray | None = None) -> None:
+        n = len(alphabet)
+        self.alphabet = alphabet.astype(np.int64)
+        self.rank = np.zeros(65536, np.int64)
+        self.rank[alphabet] = np.arange(n)
+        rest = np.cumsum(counts[_SINGLES:])
+        shared = (rest - 1) * (_GROUPS - _SINGLES) // rest[-1] if len(rest) else rest
+        self.group = g = np.r_[np.arange(min(n, _SINGLES)), _SINGLES + shared].astype(np.int64)
+        self.size = np.bincount(g, minlength=_GROUPS)
+        self.first = np.cumsum(self.size) - self.size
+        total = np.bincount(g, counts, _GROUPS).astype(np.int64)
+        # members of a group: cumulative shares of it, each 1 at least
+        sums, at = np.r_[0, np.cumsum(counts)], np.arange(n) - self.first[g]
+        base, room = sums[self.first[g]], _ALL - self.size[g]
+        self.start = (sums[:-1] - base) * room // total[g] + at
+        self.end = (sums[1:] - base) * room // total[g] + at + 1
+        plain = np.r_[0, np.cumsum(total)] * _TABLE // total.sum()
+        behind = np.tile(plain, (_GROUPS, 1))
+        if follow is not None:  # a context's counts, and one more that is dealt as all groups are
+            scaled = np.cumsum(follow * 65536 + total * 65536 // total.sum(), axis=1)
+            behind[:, 1:] = scaled * _TABLE // np.maximum(scaled[:, -1:], 1)
+        share = 2 * np.arange(_LEVELS)[:, None, None] + 1
+        self.mixed = ((share * behind + (2 * _LEVELS - share) * plain) // (2 * _LEVELS)).astype(np.int32).ravel()
+        self.ratio = ((np.diff(behind, axis=1) + 1) / (np.diff(plain) + 1)).astype(np.float32).ravel()
+
+    def groups(self, ids: np.ndarray) -> np.ndarray:
+        return self.group[self.rank[ids]]
+
+
+def tables_of(rows: np.ndarray) -> tuple[Tables, bytes]:
+    """The tables of a segment's blocks, and their packed form."""
+    n = np.bincount(rows.ravel(), minlength=65536)
+    present = np.flatnonzero(n)
+    order = np.argsort(-n[present], kind="stable")
+    alphabet = present[order]
+    q = _coarse(n[alphabet])
+    own = alphabet.astype("<u2").tobytes() + q.tobytes()
+    t = Tables(alphabet, _counts_of(q))
+    g = t.groups(rows)
+    before = np.concatenate([np.zeros((len(rows), 1), np.int64), g[:, :-1]], axis=1)
+    pairs = np.bincount((before * _GROUPS + g).ravel(), minlength=_GROUPS**2).reshape(_GROUPS, _GROUPS)
+    follow = _coarse(pairs)
+    cost, alone = len(zlib.compress(follow.tobytes())), pairs.sum(0)
+    by = np.outer(pairs.sum(1), alone)
+    seen = pairs > 0
+    saved = (pairs[seen] * np.log2(pairs[seen] * float(rows.size) / by[seen])).sum() / 8
+    if saved > cost:
+        return Tables(alphabet, _counts_of(q), _counts_of(follow)), zlib.compress(own + follow.tobytes())
+    return t, zlib.compress(own)
+
+
+def unpacked_tables(packed: bytes, n: int) -> Tables:
+    """The tables of `n` different ids from their packed form."""
+    raw = zlib.decompress(packed)
+    alphabet, q = np.frombuffer(raw, "<u2", n).astype(np.int64), np.frombuffer(raw, np.uint8, n, 2 * n)
+    follow = np.frombuffer(raw, np.uint8, _GROUPS**2, 3 * n).reshape(_GROUPS, _GROUPS) if len(raw) > 3 * n else None
+    return Tables(alphabet, _counts_of(q), None if follow is None else _counts_of(follow))
+
+
+class _Mix:
+    """The adaptive state of `lanes` blocks that are coded in step."""
+
+    def __init__(self, t: Tables, lanes: int) -> None:
+        self.t, lane = t, np.arange(lanes)
+        # an entry holds the group that followed and, above it, how often running it has been right (3 at most)
+        self.seen, self.base = np.zeros(lanes * _SLOTS, np.uint16), lane * _SLOTS
+        self.odds, self.odds_base = np.full(lanes * 4, 200, np.int32), lane * 4  # of 32768
+        self.weight = np.full(lanes, 0.75, np.float32)  # of order 1, against order 0
+        self.last = self.last2 = np.zeros(lanes, np.int64)
+
+    def look(self) -> None:
+        """What order 2 foretells next, and the weights of all."""
+        self.at = self.base + ((self.last * 40503 ^ self.last2 * 60493) >> 3 & _SLOTS - 1)
+        entry = self.seen.take(self.at, mode="clip").astype(np.int32)
+        self.two, self.run = entry & 255, entry >> 8
+        self.odds_at = self.odds_base + self.run
+        self.odd = self.odds.take(self.odds_at, mode="clip")
+        share = self.odd >> 7  # of 256
+        self.others, self.twos = 256 - share, share * _TABLE
+        self.row = ((self.weight * np.float32(_LEVELS)).astype(np.int64) * _GROUPS + self.last) * (_GROUPS + 1)
+
+    def below(self, g: np.ndarray) -> np.ndarray:
+        """The mixed frequency of all groups before g."""
+        return (self.t.mixed.take(self.row + g, mode="clip") * self.others + (g > self.two) * self.twos >> 8) + g
+
+    def learn(self, g: np.ndarray) -> None:
+        likely = self.t.ratio.take(self.last * _GROUPS + g, mode="clip") * self.weight
+        posterior = likely / (likely + (np.float32(1) - self.weight))
+        self.weight = np.minimum(self.weight + (posterior - self.weight) * _RATE, np.float32(0.999))
+        hit = g == self.two
+        self.odds[self.odds_at] = self.odd + ((hit * 32000 - self.odd) >> _GAIN)
+        self.seen[self.at] = g + (hit * np.minimum(self.run + 1, 3) << 8)
+        self.last2, self.last = self.last, g
+
+
+def _carried(out: np.ndarray) -> np.ndarray:
+    """Rows of words of 16 bits from words that may have one bit more, which belongs to the word before."""
+    carry = out >> np.uint32(16)
+    while carry.any():
+        out &= np.uint32(0xFFFF)
+        out[:, :-1] += carry[:, 1:]
+        carry = out >> np.uint32(16)
+    return out
+
+
+def encode_blocks(ids: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """(words, counts) for rows of ids: each block's 16-bit words, one block after the other, and their number.
+
+    A lane's interval is [low, low + width), whole numbers below 2**49 in floats;
+    width is 2**32 at least before each step, and a step leaves 2**16 of it or more,
+    so that one word at most goes out after it.
+    """
     lanes, steps = ids.shape
-    m, every = _Model(lanes), np.arange(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, pos = np.zeros((lanes, steps * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
-    last = last2 = np.zeros(lanes, np.int64)
-    for now in np.ascontiguousarray(ids.T).astype(np.int64):
-        two, one = m.predict(*_slots(last, last2))
-        kind = np.where(now == m.p2, 0, np.where(now == m.p1, 1, 2))
-        low, width = _narrow(low, width, np.where(kind == 0, 0, np.where(kind == 1, two, one)), np.where(kind == 0, two, np.where(kind == 1, one, 65536)))
-        rest = np.flatnonzero(kind == 2)
-        x = now[rest]
-        part = _PART_OF[x]
-        at = m.base_row[rest] + part
-        lo, wi = _narrow(low[rest], width[rest], m.rows[at], m.rows[at + 1])
-        low[rest], width[rest] = _narrow(lo, wi, _FROM[x], _TO[x])
-        m.learn(now, kind, rest, part)
-        last2, last = last, now
-        go = every
-        while True:
-            go, wi = _settled(go, low, width)
-            if not len(go):
-                break
-            lo = low[go]
-            out[go, pos[go]] = lo >> _48
-            pos[go] += 1
-            low[go], width[go] = lo << _16, wi << _16
-    for k in (48, 32, 16, 0):
-        out[every, pos] = low >> np.uint64(k) & np.uint64(0xFFFF)
-        pos += 1
-    return out[np.arange(out.shape[1])[None, :] < pos[:, None]], pos
-
-
-def decode_blocks(words: np.ndarray, counts: np.ndarray, steps: int) -> np.ndarray:
+    m = _Mix(t, lanes)
+    low, width = np.zeros(lanes), np.full(lanes, _2_48)
+    out = np.zeros((lanes, steps * 2 + 1), np.uint32)
+    flat, begin = out.reshape(-1), np.arange(lanes) * out.shape[1]
+    pos = begin.copy()
+
+    def put(go: np.ndarray, low: np.ndarray, width: np.ndarray, lanes_of: np.ndarray) -> None:
+        part, at = low.take(go), pos.take(lanes_of)
+        word = np.floor(part * (1 / _2_32))
+        flat[at] = word
+        pos[lanes_of] = at + 1
+        low[go] = (part - word * _2_32) * _2_16
+        width[go] *= _2_16
+
+    for r in t.rank[np.ascontiguousarray(ids.T)]:
+        g = t.group.take(r)
+        m.look()
+        start, end = m.below(g), m.below(g + 1)
+        unit = np.floor(width * (1 / _2_16))
+        low += unit * start
+        width = unit * (end - start)
+        m.learn(g)
+        go = np.flatnonzero(width < _2_32)
+        put(go, low, width, go)
+        more = np.flatnonzero(t.size.take(g) > 1)
+        if len(more):
+            x = r.take(more)
+            start, unit = t.start.take(x), np.floor(width.take(more) * (1 / _2_16))
+            lo, wi = low.take(more) + unit * start, unit * (t.end.take(x) - start)
+            go = np.flatnonzero(wi < _2_32)
+            put(go, lo, wi, more.take(go))
+            low[more], width[more] = lo, wi
+    flat[pos] = np.ceil(low * (1 / _2_32))  # the words behind it are read as zeros
+    counts = pos + 1 - begin
+    out = _carried(out[:, : counts.max()])
+    return out[np.arange(out.shape[1])[None, :] < counts[:, None]].astype(np.uint16), counts
+
+
+def decode_blocks(words: np.ndarray, counts: np.ndarray, steps: int, t: Tables) -> np.ndarray:
     """The rows of ids that encode_blocks() was given."""
     lanes = len(counts)
-    m, every = _Model(lanes), np.arange(lanes)
-    words = np.r_[words, np.zeros(4, np.uint16)].astype(np.uint64)
-    pos = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
-    end = len(words) - 1
-    low, width, code = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64), np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = code << _16 | words[np.minimum(pos, end)]
-        pos += 1
-    out = np.zeros((steps, lanes), np.int64)
-
-    def value(code: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
-        return np.minimum((code - low) // np.maximum(width >> _16, np.uint64(1)), np.uint64(65535)).astype(np.int64)
-
-    last = last2 = np.zeros(lanes, np.int64)
-    for t in range(steps):
-        two, one = m.predict(*_slots(last, last2))
-        v = value(code, low, width)
-        kind = (v >= two) * 1 + (v >= one)
-        low, width = _narrow(low, width, np.where(kind == 0, 0, np.where(kind == 1, two, one)), np.where(kind == 0, two, np.where(kind == 1, one, 65536)))
-        now = np.where(kind == 0, m.p2, m.p1).astype(np.int64)
-        rest = np.flatnonzero(kind == 2)
-        lo, wi, c = low[rest], width[rest], code[rest]
-        v = value(c, lo, wi)
-        at = m.base_row[rest]
+    m = _Mix(t, lanes)
+    wide = int(counts.max()) + 4
+    padded = np.zeros((lanes, wide), np.uint16)
+    padded[np.arange(wide)[None, :] < counts[:, None]] = words
+    flat, pos = padded.reshape(-1), np.arange(lanes) * wide
+    code, width = flat[pos] * _2_32 + flat[pos + 1] * _2_16 + flat[pos + 2], np.full(lanes, _2_48)
+    pos += 3
+    deep = [1 << k for k in reversed(range(int(t.size.max() - 1).bit_length()))]
+    last_of = t.first + t.size - 1
+    out = np.zeros((steps, lanes), np.uint16)
+
+    def get(go: np.ndarray, code: np.ndarray, width: np.ndarray, lanes_of: np.ndarray) -> None:
+        at = pos.take(lanes_of)
+        code[go] = code.take(go) * _2_16 + flat.take(at, mode="clip")
+        pos[lanes_of] = at + 1
+        width[go] *= _2_16
+
+    for k in range(steps):
+        m.look()
+        unit = np.floor(width * (1 / _2_16))
+        v = np.minimum(np.floor(code / unit), _ALL - 1).astype(np.int32)
+        g = np.zeros(lanes, np.int64)
         for jump in (128, 64, 32, 16, 8, 4, 2, 1):
-            at = at + jump * (m.rows[at + jump] <= v)
-        part = at - m.base_row[rest]
-        lo, wi = _narrow(lo, wi, m.rows[at], m.rows[at + 1])
-        x = _STARTS[part] + ((value(c, lo, wi) + 1) * _SIZES[part] - 1 >> 16)
-        low[rest], width[rest] = _narrow(lo, wi, _FROM[x], _TO[x])
-        now[rest] = x
-        out[t] = now
-        m.learn(now, kind, rest, part)
-        last2, last = last, now
-        go = every
-        while True:
-            go, wi = _settled(go, low, width)
-            if not len(go):
-                break
-            code[go] = code[go] << _16 | words[np.minimum(pos[go], end)]
-            pos[go] += 1
-            low[go], width[go] = low[go] << _16, wi << _16
+            g += (m.below(g + jump) <= v) * jump
+        start = m.below(g)
+        code -= unit * start
+        width = unit * (m.below(g + 1) - start)
+        m.learn(g)
+        go = np.flatnonzero(width < _2_32)
+        get(go, code, width, go)
+        r = t.first.take(g)
+        more = np.flatnonzero(t.size.take(g) > 1)
+        if len(more):
+            co, wi, x, most = code.take(more), width.take(more), r.take(more), last_of.take(g.take(more))
+            unit = np.floor(wi * (1 / _2_16))
+            v = np.minimum(np.floor(co / unit), _ALL - 1)
+            for jump in deep:
+                y = np.minimum(x + jump, most)
+                x = np.where(t.start.take(y) <= v, y, x)
+            start = t.start.take(x)
+            co -= unit * start
+            wi = unit * (t.end.take(x) - start)
+            go = np.flatnonzero(wi < _2_32)
+            get(go, co, wi, more.take(go))
+            code[more], width[more], r[more] = co, wi, x
+        out[k] = t.alphabet.take(r, mode="clip")
     return out.T
 
 
+def _lane_groups(n: int) -> list[tuple[int, int]]:
+    """Blocks that are coded in step, LANES at most, as ranges of like size."""
+    parts = -(-n // LANES)
+    return [(n * i // parts, n * (i + 1) // parts) for i in range(parts)]
+
+
 def encode_segment(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """A payload: head, document lengths, each block's word count and checksum, words.
+    """A payload: head, document lengths, each block's word count and checksum, tables, checksums of these and of the words, words.
 
     ids: below 65536; lengths: ids of each document, in order.
     """
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("an id is above 65535")
     n = -(-len(ids) // BLOCK)
-    rows = np.zeros(n * BLOCK, np.uint16)
+    rows = np.full(n * BLOCK, ids[-1] if n else 0, np.uint16)
     rows[: len(ids)] = ids
-    words, counts = encode_blocks(rows.reshape(n, BLOCK)) if n else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+    rows = rows.reshape(n, BLOCK)
+    words, counts, tables, kinds = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)], b"", 0
+    if n:
+        t, tables = tables_of(rows)
+        kinds = len(t.alphabet)
+        for a, b in _lane_groups(n):
+            w, c = encode_blocks(rows[a:b], t)
+            words.append(w)
+            counts.append(c)
     wide = np.asarray(ids).astype("<u4")
     sums = np.array([zlib.crc32(wide[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(n)], dtype="<u4")
-    head = _HEAD.pack(MAGIC, VERSION, BLOCK, len(ids), len(lengths)) + lengths.astype("<u4").tobytes() + counts.astype("<u2").tobytes() + sums.tobytes()
-    return head + struct.pack("<I", zlib.crc32(head)) + words.astype("<u2").tobytes()
+    head = _HEAD.pack(MAGIC, VERSION, BLOCK, len(ids), len(lengths), kinds, len(tables))
+    head += lengths.astype("<u4").tobytes() + np.concatenate(counts).astype("<u2").tobytes() + sums.tobytes() + tables
+    coded = np.concatenate(words).astype("<u2").tobytes()
+    return head + struct.pack("<II", zlib.crc32(head), zlib.crc32(coded)) + coded
+
+
+def head_size(payload: bytes) -> int:
+    """Bytes before a payload's words."""
+    _, _, block, n_ids, n_docs, _, packed = _HEAD.unpack_from(payload)
+    return _HEAD.size + 4 * n_docs + 6 * -(-n_ids // block) + packed + 8
 
 
 def decode_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(ids, lengths) of a payload."""
     try:
-        magic, version, block, n_ids, n_docs = _HEAD.unpack_from(payload)
+        magic, version, block, n_ids, n_docs, kinds, packed = _HEAD.unpack_from(payload)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token segment")
-        n, at = -(-n_ids // block), _HEAD.size
+        n, at, end = -(-n_ids // block), _HEAD.size, head_size(payload)
+        if struct.unpack_from("<II", payload, end - 8) != (zlib.crc32(payload[: end - 8]), zlib.crc32(payload[end:])):
+            raise ValueError("a token segment's head or words do not match their checksums")
         lengths = np.frombuffer(payload, "<u4", n_docs, at).astype(np.int64)
         counts = np.frombuffer(payload, "<u2", n, at := at + 4 * n_docs).astype(np.int64)
         sums = np.frombuffer(payload, "<u4", n, at := at + 2 * n)
-        at += 4 * n
-        if struct.unpack_from("<I", payload, at)[0] != zlib.crc32(payload[:at]):
-            raise ValueError("a token segment's head does not match its checksum")
-        words = np.frombuffer(payload, "<u2", int(counts.sum()), at + 4)
-    except (struct.error, ValueError) as e:
+        words = np.frombuffer(payload, "<u2", int(counts.sum()), end)
+    except (struct.error, ValueError, ZeroDivisionError) as e:
         raise ValueError(f"bad token segment: {e}") from e
-    ids = decode_blocks(words, counts, block).reshape(-1)[:n_ids].astype("<u4") if n else np.zeros(0, "<u4")
+    if not n:
+        return np.zeros(0, "<u4"), lengths
+    t = unpacked_tables(payload[at + 4 * n : at + 4 * n + packed], kinds)
+    first, rows = np.r_[0, np.cumsum(counts)], []
+    with np.errstate(all="ignore"):  # of blocks that are broken
+        for a, b in _lane_groups(n):
+            rows.append(decode_blocks(words[first[a] : first[b]], counts[a:b], block, t))
+    ids = np.concatenate(rows).reshape(-1)[:n_ids].astype("<u4")
     for i in range(n):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != sums[i]:
             raise ValueError(f"block {i} of a token segment does not match its checksum")
     return ids, lengths
 
 
-#: Stands between words that are encoded together; words that hold it are encoded alone.
-_MARK = "\x00"
+class _Kept(dict):
+    """What has been made of keys; of more than `most`, those not asked for lately are made anew."""
+
+    def __init__(self, most: int, make: Callable) -> None:
+        self.most, self.make, self.older = most, make, {}
+
+    def __missing__(self, key):
+        made = self.older.pop(key, None)
+        if made is None:
+            made = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = made
+        return made
+
+
+#: A tokenizer of this kind encodes a text piece by piece, white space and case aside (fixed values of its file).
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Words of ASCII and Latin-1 letters are in NFC, and lower-casing keeps them so; _CUT is this pattern for them.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+#: The sign that stands for each byte in a byte-level vocabulary.
+_SIGN = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Words:
-    """A tokenizer that keeps the ids of words it has met.
+    """A tokenizer that keeps the ids of words and of pieces of words that it has met.
 
-    Only for tokenizers whose tokens never contain or depend on white space: then a
-    text's ids are those of its space-separated words, one after the other. The
-    library encodes each different word, many at a time.
+    Where the tokenizer lower-cases, drops white space and cuts words into pieces by
+    _CUT, each piece is encoded by its model on its own; so a text's ids are those of
+    its pieces, one after the other. Words with other signs than ASCII and Latin-1
+    letters, texts with special tokens, and texts for other tokenizers are given to
+    the library as they are.
     """
 
-    def __init__(self, tokenizer: Tokenizer, most: int = 400_000) -> None:
-        self.tokenizer, self.most = tokenizer, most
-        self.known: dict[str, bytes] = {}
-        self.mark = np.array(tokenizer.encode(_MARK, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        joined = [w for w in words if _MARK not in w]
-        for i in range(0, len(joined), 512):
-            some = joined[i : i + 512]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(some), add_special_tokens=False).ids, dtype="<u2")
-            cut = np.flatnonzero(ids == int.from_bytes(self.mark, "little")) if len(self.mark) == 2 else []
-            if len(cut) == len(some) - 1:
-                ends, data = [0, *(cut * 2).tolist()], ids.tobytes()
-                starts = [0, *(cut * 2 + 2).tolist()]
-                self.known.update(zip(some, (data[a:b] for a, b in zip(starts, [*ends[1:], len(data)], strict=True)), strict=True))
-        for w in words:
-            if w not in self.known:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        self.learn(list({w for s in split for w in s if w not in known}))
-        return [np.frombuffer(b"".join([known[w] for w in s]), "<u2") for s in split]
+    def __init__(self, tokenizer: Tokenizer, most: int = 300_000) -> None:
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        told = json.loads(tokenizer.to_str())
+        cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_words = (
+            (told["normalizer"] or {}).get("normalizers") == _NORMAL
+            and cuts[0].get("pattern") == {"Regex": _CUT}
+            and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and not cuts[1]["add_prefix_space"]
+            and told["model"]["type"] == "BPE"
+        )
+        self.marks = [t["content"].encode() for t in told["added_tokens"]]
+        self.pieces, self.words = _Kept(most, self._piece), _Kept(most, self._word)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").astype("<u2").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SIGN)
+        return np.array([t.id for t in self.model.tokenize(signs)], dtype="<u2").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        return b"".join([self.pieces[p] for p in _PIECES(text.lower())]) if _PLAIN(text) else self._whole(text)
+
+    def encode(self, text: bytes) -> np.ndarray:
+        """The ids of a text in UTF-8."""
+        if not self.by_words or any(m in text for m in self.marks):
+            return np.frombuffer(self._whole(text.decode("utf-8", "replace")), "<u2")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u2")
 
 
 #: A Python worker's tokenizers, so that one task's words serve the next.
@@ -324,9 +451,8 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for b in batches:
             ids = b.column(1).type
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            for p, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), words.encode(texts), strict=True):
-                part = p
+            for p, i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                part, x = p, words.encode(text.as_py() or b"")
                 names.append(i)
                 held.append(np.append(x, np.uint16(end)))
                 size += len(x) + 1
@@ -337,7 +463,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if held:
             yield out()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select(F.spark_partition_id().alias("part"), "id", "t")
     return staged(dealt.mapInArrow(run, f"part int, seg int, before long, n_ids long, doc_ids array<{kind}>, payload binary"), "tokens")
