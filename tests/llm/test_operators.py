@@ -191,8 +191,9 @@ def test_op2_words_are_those_of_the_library(name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
     words = token_store.Words(tokenizer, most=7)
     texts = ["It's THE end, isn't it? I'LL go'N", "ÀÉ Straße ÑANDÚ ÿ×÷", "e\u0301te\u0301 İI ſ ﬁ K", "a\x1cb\x85c\u00a0d\u2003e\u3000f", "3.14159 a1b22 --... ' 's 't", "日本語 русский ǅ ªº²µ", "x<|endoftext|>y <|ENDOFTEXT|> <|startoftext|>", "", " \n\t", "\x00\x01 \x7f"]
-    for t in texts * 2:
-        assert words.encode(t.encode()).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    texts += ["x" * n + "." for n in range(20, 30)] + [LONG]
+    for t, got in zip(texts * 2, words.encode([t.encode() for t in texts * 2]), strict=True):
+        assert got.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_op2_takes_fewer_bits_than_the_ids_frequencies(spark, sf_dir):

@@ -382,6 +382,12 @@ _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
 #: The sign that stands for each byte in a byte-level vocabulary.
 _SIGN = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
+#: Bytes of text encoded at a time; the ASCII spaces; masks of a word's three times eight bytes by its length; odd multipliers.
+_CHUNK = 1 << 19
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_FIRST = [np.array([(1 << 8 * min(max(n - 8 * k, 0), 8)) - 1 for n in range(26)], np.uint64) for k in range(3)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
 
 class Words:
     """A tokenizer that keeps the ids of words and of pieces of words that it has met.
@@ -393,8 +399,10 @@ class Words:
     the library as they are.
     """
 
-    def __init__(self, tokenizer: Tokenizer, most: int = 300_000) -> None:
+    def __init__(self, tokenizer: Tokenizer, most: int = 1_200_000) -> None:
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.most, self.bits = most, 21
+        self._forget()
         told = json.loads(tokenizer.to_str())
         cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.by_words = (
@@ -405,7 +413,7 @@ class Words:
             and told["model"]["type"] == "BPE"
         )
         self.marks = [t["content"].encode() for t in told["added_tokens"]]
-        self.pieces, self.words = _Kept(most, self._piece), _Kept(most, self._word)
+        self.pieces = _Kept(most // 3, self._piece)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").astype("<u2").tobytes()
@@ -415,14 +423,109 @@ class Words:
         return np.array([t.id for t in self.model.tokenize(signs)], dtype="<u2").tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self.pieces[word.decode()]
+        if word[:-1].isalpha() and word[-1] in b".,;:!?":
+            return self.pieces[word[:-1].decode()] + self.pieces[chr(word[-1])]
         text = word.decode("utf-8", "replace")
         return b"".join([self.pieces[p] for p in _PIECES(text.lower())]) if _PLAIN(text) else self._whole(text)
 
-    def encode(self, text: bytes) -> np.ndarray:
-        """The ids of a text in UTF-8."""
-        if not self.by_words or any(m in text for m in self.marks):
-            return np.frombuffer(self._whole(text.decode("utf-8", "replace")), "<u2")
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u2")
+    def _forget(self) -> None:
+        """Start with an empty table of words; pieces stay known."""
+        self.table = np.zeros((1 << self.bits, 4), np.uint64)
+        self.kept, self.long, self.count, self.used = np.zeros(1 << 16, np.uint16), {}, 0, 0
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Puts the ids of words behind those kept; where they are: place << 16 | number."""
+        found = [self._word(w) for w in words]
+        n = np.array([len(x) // 2 for x in found], dtype=np.int64)
+        if n.max(initial=0) > 0xFFFF:
+            raise ValueError("a word has over 65535 ids")
+        ids = np.frombuffer(b"".join(found), "<u2")
+        if self.used + len(ids) > len(self.kept):
+            self.kept = np.r_[self.kept[: self.used], np.zeros(len(self.kept) + 2 * len(ids), np.uint16)]
+        self.kept[self.used : self.used + len(ids)] = ids
+        places = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        return (places << 16) + n
+
+    def _places(self, data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each word of data the place of its ids among those kept.
+
+        The table holds words of up to 24 bytes as three numbers and their place, and
+        is probed for all words at once.
+        """
+        at8 = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        short = np.minimum(size, 25)
+        key = [at8.take(start + 8 * k) & _FIRST[k].take(short) for k in range(3)]
+        h = key[0] * _ODD[0] ^ (key[1] * _ODD[1] ^ key[2] * _ODD[2])
+        slot = ((h ^ h >> np.uint64(29)) * _ODD[3] >> np.uint64(64 - self.bits)).astype(np.int64)
+        out, mask = np.full(len(start), -1, np.int64), (1 << self.bits) - 1
+        on = np.flatnonzero(size <= 24)
+        at = slot.take(on)
+        k0, k1, k2 = (k.take(on) for k in key)
+        while len(on):
+            row = self.table.take(at, axis=0)
+            same = (row[:, 0] == k0) & (row[:, 1] == k1) & (row[:, 2] == k2) & (row[:, 3] > 0)
+            out[on[same]] = row[same, 3].astype(np.int64) - 1
+            go = np.flatnonzero(~same & (row[:, 3] > 0))
+            on, at, k0, k1, k2 = on[go], at[go] + 1 & mask, k0[go], k1[go], k2[go]
+        new: dict[bytes, int] = {}
+        first = []
+        missing = np.flatnonzero(out < 0)
+        names = [data[a : a + n] for a, n in zip(start[missing].tolist(), size[missing].tolist(), strict=True)]
+        for i, w in zip(missing.tolist(), names, strict=True):
+            if w not in new and w not in self.long:
+                new[w] = len(first)
+                first.append(i)
+        made = self._learn(list(new))
+        if len(names):
+            out[missing] = [made[new[w]] if w in new else self.long[w] for w in names]
+        self.long.update((w, int(made[i])) for w, i in new.items() if len(w) > 24)
+        on = np.array(first, dtype=np.int64)
+        on = on[size[on] <= 24]
+        self.count += len(first)
+        at = slot.take(on)
+        rows = np.stack([*(k.take(on) for k in key), (out[on] + 1).astype(np.uint64)], axis=1)
+        while len(on):
+            free = self.table[at, 3] == 0
+            self.table[at[free]] = rows[free]  # of several for one slot the last stays
+            go = np.flatnonzero((self.table[at] != rows).any(1))
+            on, at, rows = on[go], at[go] + 1 & mask, rows[go]
+        return out
+
+    def _some(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b" ".join(texts).lower() + b" " * 32
+        space = _SPACE[np.frombuffer(data, np.uint8)]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edge = edge if space[0] else np.r_[0, edge]
+        start, end = edge[::2], edge[1::2]
+        if self.count > self.most:
+            self._forget()
+        place = self._places(data, start, end - start)
+        n = place & 0xFFFF
+        before = np.cumsum(n) - n
+        ids = self.kept.take(np.repeat((place >> 16) - before, n) + np.arange(n.sum()))
+        of_text = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        cut = np.r_[before, len(ids)].take(of_text)
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts in UTF-8."""
+        out: list[np.ndarray] = []
+        some: list[bytes] = []
+        size = 0
+        for t in texts:
+            alone = not self.by_words or any(m in t for m in self.marks)
+            if some and (alone or size + len(t) > _CHUNK):
+                out += self._some(some)
+                some, size = [], 0
+            if alone:
+                out.append(np.frombuffer(self._whole(t.decode("utf-8", "replace")), "<u2"))
+            else:
+                some.append(t)
+                size += len(t)
+        return out + (self._some(some) if some else [])
 
 
 #: A Python worker's tokenizers, so that one task's words serve the next.
@@ -451,8 +554,9 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for b in batches:
             ids = b.column(1).type
-            for p, i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                part, x = p, words.encode(text.as_py() or b"")
+            found = words.encode([t or b"" for t in b.column(2).to_pylist()])
+            for p, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), found, strict=True):
+                part = p
                 names.append(i)
                 held.append(np.append(x, np.uint16(end)))
                 size += len(x) + 1
