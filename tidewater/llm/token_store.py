@@ -20,8 +20,8 @@ The segment's head has the order-0 and order-1 counts that all its blocks start
 from; counts are rounded to four bits, and order 1 is left out where it would cost
 more than it saves. A group's interval is cut from the weighted sum of the three
 orders' cumulative frequencies. The weights are learnt within a block, id by id:
-order 2's from how often it was right lately, for each length of its latest run of
-hits; order 1's against order 0's by the likelihood that either gave the id.
+order 2's from how often it was right lately; order 1's against order 0's by the
+likelihood that either gave the id, at every fourth id.
 
 Defined results
 ---------------
@@ -58,11 +58,11 @@ MAGIC, VERSION = b"TWTK", 2
 _HEAD = struct.Struct("<4sBHQIII")
 
 _SINGLES, _GROUPS = 192, 256
-#: The sum of all frequencies, and that of a table, which each group gets one more than.
-_ALL, _TABLE = 1 << 16, (1 << 16) - _GROUPS
+#: The sum of all groups' frequencies, of a group's members', and what each group has of the first at least.
+_ALL, _MEMBERS, _LEAST = 1 << 20, 1 << 16, 16
 #: Weights of order 1 that tables are mixed for; slots of a block's order-2 table; how fast weights adapt.
-_LEVELS, _SLOTS, _RATE, _GAIN = 16, 1024, np.float32(1 / 64), 5
-_2_16, _2_32, _2_48 = 2.0**16, 2.0**32, 2.0**48
+_LEVELS, _SLOTS, _RATE, _GAIN = 16, 512, np.float32(1 / 16), 4
+_2_16, _2_20, _2_32, _2_48 = 2.0**16, 2.0**20, 2.0**32, 2.0**48
 
 
 def _coarse(n: np.ndarray) -> np.ndarray:
@@ -97,16 +97,17 @@ class Tables:
         total = np.bincount(g, counts, _GROUPS).astype(np.int64)
         # members of a group: cumulative shares of it, each 1 at least
         sums, at = np.r_[0, np.cumsum(counts)], np.arange(n) - self.first[g]
-        base, room = sums[self.first[g]], _ALL - self.size[g]
+        base, room = sums[self.first[g]], _MEMBERS - self.size[g]
         self.start = (sums[:-1] - base) * room // total[g] + at
         self.end = (sums[1:] - base) * room // total[g] + at + 1
-        plain = np.r_[0, np.cumsum(total)] * _TABLE // total.sum()
+        share, least = _ALL - _LEAST * _GROUPS, _LEAST * np.arange(_GROUPS + 1)
+        plain = np.r_[0, np.cumsum(total)] * share // total.sum() + least
         behind = np.tile(plain, (_GROUPS, 1))
         if follow is not None:  # a context's counts, and one more that is dealt as all groups are
             scaled = np.cumsum(follow * 65536 + total * 65536 // total.sum(), axis=1)
-            behind[:, 1:] = scaled * _TABLE // np.maximum(scaled[:, -1:], 1)
-        share = 2 * np.arange(_LEVELS)[:, None, None] + 1
-        self.mixed = ((share * behind + (2 * _LEVELS - share) * plain) // (2 * _LEVELS)).astype(np.int32).ravel()
+            behind[:, 1:] = scaled * share // np.maximum(scaled[:, -1:], 1) + least[1:]
+        level = 2 * np.arange(_LEVELS)[:, None, None] + 1
+        self.mixed = ((level * behind + (2 * _LEVELS - level) * plain) // (2 * _LEVELS)).astype(np.int32).ravel()
         self.ratio = ((np.diff(behind, axis=1) + 1) / (np.diff(plain) + 1)).astype(np.float32).ravel()
 
     def groups(self, ids: np.ndarray) -> np.ndarray:
@@ -148,34 +149,57 @@ class _Mix:
 
     def __init__(self, t: Tables, lanes: int) -> None:
         self.t, lane = t, np.arange(lanes)
-        # an entry holds the group that followed and, above it, how often running it has been right (3 at most)
-        self.seen, self.base = np.zeros(lanes * _SLOTS, np.uint16), lane * _SLOTS
-        self.odds, self.odds_base = np.full(lanes * 4, 200, np.int32), lane * 4  # of 32768
+        self.seen, self.base = np.zeros(lanes * _SLOTS, np.uint8), lane * _SLOTS  # the groups that followed
+        self.odd = np.full(lanes, 512, np.int32)  # that order 2 is right, of 32768
         self.weight = np.full(lanes, 0.75, np.float32)  # of order 1, against order 0
         self.last = self.last2 = np.zeros(lanes, np.int64)
+        self.steps = 0
+        self._level()
+
+    def _level(self) -> None:
+        self.level = (self.weight * np.float32(_LEVELS)).astype(np.int64) * (_GROUPS * (_GROUPS + 1))
 
     def look(self) -> None:
         """What order 2 foretells next, and the weights of all."""
         self.at = self.base + ((self.last * 40503 ^ self.last2 * 60493) >> 3 & _SLOTS - 1)
-        entry = self.seen.take(self.at, mode="clip").astype(np.int32)
-        self.two, self.run = entry & 255, entry >> 8
-        self.odds_at = self.odds_base + self.run
-        self.odd = self.odds.take(self.odds_at, mode="clip")
-        share = self.odd >> 7  # of 256
-        self.others, self.twos = 256 - share, share * _TABLE
-        self.row = ((self.weight * np.float32(_LEVELS)).astype(np.int64) * _GROUPS + self.last) * (_GROUPS + 1)
+        self.two = self.seen.take(self.at, mode="clip").astype(np.int64)
+        share = self.odd * 15 >> 11  # of 256, 240 at most
+        self.others, self.twos = 256 - share, share * (_ALL >> 8)
+        self.row = self.level + self.last * (_GROUPS + 1)
+
+    def _rest(self, at: np.ndarray) -> np.ndarray:
+        return self.t.mixed.take(at, mode="clip") * self.others >> 8
 
     def below(self, g: np.ndarray) -> np.ndarray:
         """The mixed frequency of all groups before g."""
-        return (self.t.mixed.take(self.row + g, mode="clip") * self.others + (g > self.two) * self.twos >> 8) + g
+        return self._rest(self.row + g) + (g > self.two) * self.twos
+
+    def group_at(self, v: np.ndarray) -> np.ndarray:
+        """The group whose interval holds v.
+
+        Behind the foretold group order 2's share is taken off, so that what is left
+        is a search in the table of orders 0 and 1.
+        """
+        at = self.row + self.two
+        behind = v >= self._rest(at + 1) + self.twos
+        foretold = (v >= self._rest(at)) & ~behind
+        limit = (((v - behind * self.twos + 1) * 256.0 - 1) / self.others).astype(np.int32)
+        at = self.row
+        for jump in (128, 64, 32, 16, 8, 4, 2, 1):
+            at = at + (self.t.mixed.take(at + jump, mode="clip") <= limit) * jump
+        at = at - self.row
+        return at + foretold * (self.two - at)
 
     def learn(self, g: np.ndarray) -> None:
-        likely = self.t.ratio.take(self.last * _GROUPS + g, mode="clip") * self.weight
-        posterior = likely / (likely + (np.float32(1) - self.weight))
-        self.weight = np.minimum(self.weight + (posterior - self.weight) * _RATE, np.float32(0.999))
+        if self.steps & 3 == 0:  # every fourth id is enough for this weight
+            likely = self.t.ratio.take(self.last * _GROUPS + g, mode="clip") * self.weight
+            posterior = likely / (likely + (np.float32(1) - self.weight))
+            self.weight = np.minimum(self.weight + (posterior - self.weight) * _RATE, np.float32(0.999))
+            self._level()
+        self.steps += 1
         hit = g == self.two
-        self.odds[self.odds_at] = self.odd + ((hit * 32000 - self.odd) >> _GAIN)
-        self.seen[self.at] = g + (hit * np.minimum(self.run + 1, 3) << 8)
+        self.odd += (hit * np.int32(32767) - self.odd) >> _GAIN
+        self.seen[self.at] = g.astype(np.uint8)
         self.last2, self.last = self.last, g
 
 
@@ -193,41 +217,42 @@ def encode_blocks(ids: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """(words, counts) for rows of ids: each block's 16-bit words, one block after the other, and their number.
 
     A lane's interval is [low, low + width), whole numbers below 2**49 in floats;
-    width is 2**32 at least before each step, and a step leaves 2**16 of it or more,
-    so that one word at most goes out after it.
+    width is 2**32 at least before each step. After it, words go out until that is so
+    again; a word may have a bit more than 16, which _carried() adds to the word before.
     """
     lanes, steps = ids.shape
     m = _Mix(t, lanes)
     low, width = np.zeros(lanes), np.full(lanes, _2_48)
-    out = np.zeros((lanes, steps * 2 + 1), np.uint32)
+    out = np.zeros((lanes, steps * 3 + 2), np.uint32)
     flat, begin = out.reshape(-1), np.arange(lanes) * out.shape[1]
     pos = begin.copy()
 
-    def put(go: np.ndarray, low: np.ndarray, width: np.ndarray, lanes_of: np.ndarray) -> None:
-        part, at = low.take(go), pos.take(lanes_of)
-        word = np.floor(part * (1 / _2_32))
-        flat[at] = word
-        pos[lanes_of] = at + 1
-        low[go] = (part - word * _2_32) * _2_16
-        width[go] *= _2_16
+    def put(low: np.ndarray, width: np.ndarray, lanes_of: np.ndarray | None = None) -> None:
+        go = np.flatnonzero(width < _2_32)
+        while len(go):
+            lane = go if lanes_of is None else lanes_of.take(go)
+            part, at, wi = low.take(go), pos.take(lane), width.take(go) * _2_16
+            word = np.floor(part * (1 / _2_32))
+            flat[at] = word
+            pos[lane] = at + 1
+            low[go], width[go] = (part - word * _2_32) * _2_16, wi
+            go = go[wi < _2_32]
 
     for r in t.rank[np.ascontiguousarray(ids.T)]:
         g = t.group.take(r)
         m.look()
         start, end = m.below(g), m.below(g + 1)
-        unit = np.floor(width * (1 / _2_16))
+        unit = np.floor(width * (1 / _2_20))
         low += unit * start
         width = unit * (end - start)
         m.learn(g)
-        go = np.flatnonzero(width < _2_32)
-        put(go, low, width, go)
+        put(low, width)
         more = np.flatnonzero(t.size.take(g) > 1)
         if len(more):
             x = r.take(more)
             start, unit = t.start.take(x), np.floor(width.take(more) * (1 / _2_16))
             lo, wi = low.take(more) + unit * start, unit * (t.end.take(x) - start)
-            go = np.flatnonzero(wi < _2_32)
-            put(go, lo, wi, more.take(go))
+            put(lo, wi, more)
             low[more], width[more] = lo, wi
     flat[pos] = np.ceil(low * (1 / _2_32))  # the words behind it are read as zeros
     counts = pos + 1 - begin
@@ -249,39 +274,37 @@ def decode_blocks(words: np.ndarray, counts: np.ndarray, steps: int, t: Tables)
     last_of = t.first + t.size - 1
     out = np.zeros((steps, lanes), np.uint16)
 
-    def get(go: np.ndarray, code: np.ndarray, width: np.ndarray, lanes_of: np.ndarray) -> None:
-        at = pos.take(lanes_of)
-        code[go] = code.take(go) * _2_16 + flat.take(at, mode="clip")
-        pos[lanes_of] = at + 1
-        width[go] *= _2_16
+    def get(code: np.ndarray, width: np.ndarray, lanes_of: np.ndarray | None = None) -> None:
+        go = np.flatnonzero(width < _2_32)
+        while len(go):
+            lane = go if lanes_of is None else lanes_of.take(go)
+            at, wi = pos.take(lane), width.take(go) * _2_16
+            code[go], width[go] = code.take(go) * _2_16 + flat.take(at, mode="clip"), wi
+            pos[lane] = at + 1
+            go = go[wi < _2_32]
 
     for k in range(steps):
         m.look()
-        unit = np.floor(width * (1 / _2_16))
-        v = np.minimum(np.floor(code / unit), _ALL - 1).astype(np.int32)
-        g = np.zeros(lanes, np.int64)
-        for jump in (128, 64, 32, 16, 8, 4, 2, 1):
-            g += (m.below(g + jump) <= v) * jump
+        unit = np.floor(width * (1 / _2_20))
+        g = m.group_at(np.minimum(code / unit, _ALL - 1).astype(np.int32))
         start = m.below(g)
         code -= unit * start
         width = unit * (m.below(g + 1) - start)
         m.learn(g)
-        go = np.flatnonzero(width < _2_32)
-        get(go, code, width, go)
+        get(code, width)
         r = t.first.take(g)
         more = np.flatnonzero(t.size.take(g) > 1)
         if len(more):
             co, wi, x, most = code.take(more), width.take(more), r.take(more), last_of.take(g.take(more))
             unit = np.floor(wi * (1 / _2_16))
-            v = np.minimum(np.floor(co / unit), _ALL - 1)
+            v = np.minimum(np.floor(co / unit), _MEMBERS - 1)
             for jump in deep:
                 y = np.minimum(x + jump, most)
                 x = np.where(t.start.take(y) <= v, y, x)
             start = t.start.take(x)
             co -= unit * start
             wi = unit * (t.end.take(x) - start)
-            go = np.flatnonzero(wi < _2_32)
-            get(go, co, wi, more.take(go))
+            get(co, wi, more)
             code[more], width[more], r[more] = co, wi, x
         out[k] = t.alphabet.take(r, mode="clip")
     return out.T
