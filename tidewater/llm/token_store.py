@@ -41,7 +41,9 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -441,36 +443,37 @@ class Words:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").astype("<u2").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SIGN)
-        return np.array([t.id for t in self.model.tokenize(signs)], dtype="<u2").tobytes()
+    def _piece(self, piece: bytes) -> bytes:
+        signs = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_SIGN)
+        return array("H", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():
-            return self.pieces[word.decode()]
-        if word[:-1].isalpha() and word[-1] in b".,;:!?":
-            return self.pieces[word[:-1].decode()] + self.pieces[chr(word[-1])]
+            return self.pieces[word]
+        if word[-1] in b".,;:!?" and word[:-1].isalpha():
+            return self.pieces[word[:-1]] + self.pieces[word[-1:]]
         text = word.decode("utf-8", "replace")
-        return b"".join([self.pieces[p] for p in _PIECES(text.lower())]) if _PLAIN(text) else self._whole(text)
+        return b"".join([self.pieces[p.encode()] for p in _PIECES(text.lower())]) if _PLAIN(text) else self._whole(text)
 
     def _forget(self) -> None:
         """Start with an empty table of words; pieces stay known."""
         self.table = np.zeros((1 << self.bits, 4), np.uint64)
         self.kept, self.long, self.count, self.used = np.zeros(1 << 16, np.uint16), {}, 0, 0
 
-    def _learn(self, words: list[bytes]) -> np.ndarray:
+    def _learn(self, words: list[bytes]) -> list[int]:
         """Puts the ids of words behind those kept; where they are: place << 16 | number."""
-        found = [self._word(w) for w in words]
-        n = np.array([len(x) // 2 for x in found], dtype=np.int64)
+        found = list(map(self._word, words))
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 2
         if n.max(initial=0) > 0xFFFF:
             raise ValueError("a word has over 65535 ids")
-        ids = np.frombuffer(b"".join(found), "<u2")
+        ids = np.frombuffer(b"".join(found), np.uint16)
         if self.used + len(ids) > len(self.kept):
             self.kept = np.r_[self.kept[: self.used], np.zeros(len(self.kept) + 2 * len(ids), np.uint16)]
         self.kept[self.used : self.used + len(ids)] = ids
         places = self.used + np.cumsum(n) - n
         self.used += len(ids)
-        return (places << 16) + n
+        self.count += len(words)
+        return ((places << 16) + n).tolist()
 
     def _places(self, data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """For each word of data the place of its ids among those kept.
@@ -493,28 +496,19 @@ class Words:
             out[on[same]] = row[same, 3].astype(np.int64) - 1
             go = np.flatnonzero(~same & (row[:, 3] > 0))
             on, at, k0, k1, k2 = on[go], at[go] + 1 & mask, k0[go], k1[go], k2[go]
-        new: dict[bytes, int] = {}
-        first = []
-        missing = np.flatnonzero(out < 0)
-        names = [data[a : a + n] for a, n in zip(start[missing].tolist(), size[missing].tolist(), strict=True)]
-        for i, w in zip(missing.tolist(), names, strict=True):
-            if w not in new and w not in self.long:
-                new[w] = len(first)
-                first.append(i)
-        made = self._learn(list(new))
-        if len(names):
-            out[missing] = [made[new[w]] if w in new else self.long[w] for w in names]
-        self.long.update((w, int(made[i])) for w, i in new.items() if len(w) > 24)
-        on = np.array(first, dtype=np.int64)
+        on = np.flatnonzero(out < 0)
+        names = [data[a:b] for a, b in zip(start[on].tolist(), (start + size)[on].tolist(), strict=True)]
+        new = [w for w in dict.fromkeys(names) if w not in self.long]
+        made = dict(zip(new, self._learn(new), strict=True))
+        self.long.update((w, made[w]) for w in new if len(w) > 24)
+        out[on] = [made[w] if w in made else self.long[w] for w in names]
         on = on[size[on] <= 24]
-        self.count += len(first)
-        at = slot.take(on)
-        rows = np.stack([*(k.take(on) for k in key), (out[on] + 1).astype(np.uint64)], axis=1)
-        while len(on):
+        at, rows = slot.take(on), np.stack([*(k.take(on) for k in key), (out[on] + 1).astype(np.uint64)], axis=1)
+        while len(at):
             free = self.table[at, 3] == 0
-            self.table[at[free]] = rows[free]  # of several for one slot the last stays
+            self.table[at[free]] = rows[free]  # of different words for one slot the last stays
             go = np.flatnonzero((self.table[at] != rows).any(1))
-            on, at, rows = on[go], at[go] + 1 & mask, rows[go]
+            at, rows = at[go] + 1 & mask, rows[go]
         return out
 
     def _some(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -551,8 +545,10 @@ class Words:
         return out + (self._some(some) if some else [])
 
 
-#: A Python worker's tokenizers, so that one task's words serve the next.
-_kept: dict[str, Words] = {}
+@cache
+def _words_of(tokenizer: str) -> Words:
+    """A Python worker's words, so that one task's serve the next. It must stay a function of the module: what write() defines is made anew for each task."""
+    return Words(Tokenizer.from_str(tokenizer))
 
 
 def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
@@ -565,8 +561,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     told = spark.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _kept.get(told.value) or Words(Tokenizer.from_str(told.value))
-        _kept[told.value] = words
+        words = _words_of(told.value)
         names, ids, held, size, before, seg, part = [], None, [], 0, 0, 0, 0
 
         def out() -> pa.RecordBatch:
