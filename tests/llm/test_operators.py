@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -376,14 +377,27 @@ def test_op7_directory_splits_until_buckets_fit():
     assert all(n <= 10 or d == 16 for n, (d, _) in zip(held, buckets, strict=True)) and sum(held) == 43
 
 
-def test_op8_quality(spark, real, sf_dir, messy, empty):
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+def test_op8_quality(spark, sf_dir, messy, empty):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     held = language_id.held_out(F.col("doc_id"))
-    model = quality.fit(real.where(~held), labels)
-    out = quality.score(real, model).join(labels, F.col("id") == F.col("doc_id")).where(held).collect()
-    assert np.mean([r.predicted == r.quality for r in out]) > 0.8
-    some = {r.id: r for r in quality.score(messy, model).collect()}
-    assert len(some) == 11 + 1 and some[3].difference == some[4].difference == 0 and all(0 <= r.score <= 1 for r in some.values())
+    model = quality.fit(docs.where(~held), labels)
+    out = quality.score(docs, model).join(labels, F.col("id") == F.col("doc_id")).where(held).collect()
+    good, bad = [r.score for r in out if r.quality == 1], [r.score for r in out if r.quality == 0]
+    most = max(len(good), len(bad)) / len(out)  # what always saying the commoner class gets
+    assert np.mean([r.predicted == r.quality for r in out]) > most + (1 - most) / 2
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.95
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in out[:50]:  # the difference, anew
+        data, sizes = (texts[r.id] or "").encode(), []
+        for content in (model.bad, model.good):
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False, write_checksum=False)
+            sizes.append(sum(len(c.compress(data[i : i + quality.PIECE])) for i in range(0, len(data), quality.PIECE)))
+        assert r.difference == pytest.approx((sizes[0] - sizes[1]) / len(data) if data else 0.0, abs=0.02)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * r.difference + model.offset)))) and r.predicted == (r.score >= 0.3)
+    some = quality.score(messy, model).collect()
+    assert len(some) == len(MESSY) and all(0 <= r.score <= 1 for r in some)
+    assert {r.difference for r in some if r.id in (3, 4)} == {0} and len({r.score for r in some if r.id == 2}) == 1
     none = quality.fit(empty, labels)
     assert {r.score for r in quality.score(messy, none).collect()} == {0.5} and quality.score(empty, model).count() == 0
 
@@ -409,10 +423,51 @@ def test_op10_shards(spark, messy, empty):
     got = sharding.shards(messy).collect()
     assert all(r["size"] == 16 + len((t or "").encode()) for r in got for t in [next(m[1] for m in MESSY if m[0] == r.id and zlib.crc32((m[1] or "").encode()) == r.text_crc32)])
     assert sharding.shards(empty).count() == 0
-    # a heavier shard only gains, and what it gains comes from all others
+    rows = sharding.shards(docs_of(spark, [(i, "same", "en", "a") for i in [5, 5, None, None]])).collect()
+    assert len({r.shard for r in rows if r.id == 5}) == len({r.shard for r in rows if r.id is None}) == 1
+
+
+def naive_descend(key, node):
+    """One key's way down, in whole numbers."""
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def weight(n):
+        return sum(map(weight, n)) if isinstance(n, list) else n[1]
+
+    place, way = 0, []
+    while isinstance(node, list):
+        draws = []
+        for i, child in enumerate(node):
+            if weight(child) > 0:
+                p = mixed((place + (i + 1) * 0x9E3779B97F4A7C15) % 2**64)
+                draws.append((-np.log(((mixed(key ^ p) >> 11) + 0.5) / 2.0**53) / weight(child), i, p))
+        _, i, place = min(draws)
+        way.append(i)
+        node = node[i]
+    return node[0], way
+
+
+def test_op10_way_down_the_tree():
     key = np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64)
-    a, b = sharding.descend(key, sharding.tree(40)), sharding.descend(key, sharding.tree(40, {7: 3.0}))
-    assert set(b[a != b]) == {7} and 2.3 < (b == 7).sum() / (a == 7).sum() < 3.6
+    before, after = sharding.tree(40), sharding.tree(40, {7: 3.0, 12: 0.0})
+    for t in (before, after):
+        assert sharding.descend(key[:500], t).tolist() == [naive_descend(int(k), t)[0] for k in key[:500]]
+    a, b = sharding.descend(key, before), sharding.descend(key, sharding.tree(40, {7: 3.0}))
+    assert 2.3 < (b == 7).sum() / (a == 7).sum() < 3.6
+    share = np.bincount(a, minlength=40) / len(key)
+    assert abs(share - 1 / 40).max() < 0.006
+    touched = [0, 1, 2]  # region, rack and place of shard 7
+    for k in np.flatnonzero(a != b)[:2000]:
+        old, new = naive_descend(int(key[k]), before)[1], naive_descend(int(key[k]), sharding.tree(40, {7: 3.0}))[1]
+        at = next(i for i in range(3) if old[i] != new[i])
+        assert new[: at + 1] == touched[: at + 1]  # it goes into the heavier subtree
+    # out of a shard that loses its weight, and only from its subtrees
+    c = sharding.descend(key, sharding.tree(40, {12: 0.0}))
+    assert (c != 12).all() and (a[a != c] // 20 == 0).all()
 
 
 def test_empty_tables(empty):

@@ -1,18 +1,23 @@
 """Sharding by a hierarchical weighted hash tree of regions, racks and shards.
 
-Every shard of weight w draws -ln(u) / w for a document, u being a hash of the
-document and the shard. A rack's draw is the least of its shards' draws and a
-region's the least of its racks': the least of exponential draws is itself an
-exponential draw with the sum of the weights, so each level is a weighted hash draw
-among its nodes. A document descends to the region, the rack and the shard with the
-least draw. If a shard's weight changes, no other shard's draw does; documents move
-only into or out of the subtrees above that shard, and a new shard takes documents
-only into itself.
+At each node every child of weight w draws -ln(u) / w for a document, u being a hash
+of the document and the child's place in the tree; a rack's weight is the sum of its
+shards' and a region's the sum of its racks'. The document goes down to the child
+with the least draw and only that child's own children draw next. If a shard's weight
+changes, the weights of its rack and region change with it and no others: a document
+moves only into or out of the child on that path, at the level where its way parts
+from the one before; none moves between two subtrees whose weights are the same.
+
+A further shard gets a region of its own, so that every document keeps its way unless
+the new region draws it: the new shard takes documents only into itself.
 
 Defined results
 ---------------
-* a null text has size 16 and the checksum of the empty text;
+* a null text has size 16 and the checksum of the empty text; texts of any length
+  count whole, by their bytes;
 * a null id is one key like any other; rows with one id are in one shard;
+* shards, racks and regions without weight get no document; without any weight
+  the shard is -1;
 * slots number each shard's rows from 0 without gaps; reruns agree;
 * an empty table gives an empty result; other columns are not read.
 """
@@ -40,6 +45,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A node: (shard, weight) or a list of nodes.
+Node = tuple[int, float] | list
+
+
 def tree(shards: int, weights: dict[int, float] | None = None) -> list[list[list[tuple[int, float]]]]:
     """Regions of racks of (shard, weight); shards fill racks in order."""
     leaves = [(s, (weights or {}).get(s, 1.0)) for s in range(shards)]
@@ -47,35 +56,37 @@ def tree(shards: int, weights: dict[int, float] | None = None) -> list[list[list
     return [racks[i : i + REGION] for i in range(0, len(racks), REGION)]
 
 
-def descend(key: np.ndarray, nodes: list[list[list[tuple[int, float]]]]) -> np.ndarray:
-    """The shard of each key (unsigned 64 bits)."""
+def _weight(node: Node) -> float:
+    return sum(map(_weight, node)) if isinstance(node, list) else node[1]
 
-    def draw(shard: int, weight: float) -> np.ndarray:
-        h = _mixed(key ^ _mixed(np.full(1, shard + 1, dtype=np.uint64) * _1))
-        return -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / weight
 
-    best = np.full(len(key), np.inf)
+def descend(key: np.ndarray, nodes: Node) -> np.ndarray:
+    """The shard of each key (unsigned 64 bits)."""
     shard = np.full(len(key), -1, dtype=np.int32)
-    for region in nodes:
-        region_best, region_shard = np.full(len(key), np.inf), np.full(len(key), -1, dtype=np.int32)
-        for rack in region:
-            live = [(s, w) for s, w in rack if w > 0]
-            if not live:
-                continue
-            draws = np.stack([draw(s, w) for s, w in live])
-            at = draws.argmin(axis=0)
-            rack_best, rack_shard = draws[at, np.arange(len(key))], np.array([s for s, _ in live], dtype=np.int32)[at]
-            less = rack_best < region_best
-            region_best, region_shard = np.where(less, rack_best, region_best), np.where(less, rack_shard, region_shard)
-        less = region_best < best
-        best, shard = np.where(less, region_best, best), np.where(less, region_shard, shard)
+
+    def down(rows: np.ndarray, node: Node, place: np.ndarray) -> None:
+        if not len(rows):
+            return
+        if not isinstance(node, list):
+            shard[rows] = node[0]
+            return
+        live = [(i, child, _weight(child)) for i, child in enumerate(node) if _weight(child) > 0]
+        if not live:
+            return
+        places = [_mixed(place + np.array([i + 1], np.uint64) * _1) for i, _, _ in live]
+        draws = [-np.log(((_mixed(key[rows] ^ p) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / w for p, (_, _, w) in zip(places, live, strict=True)]
+        least = np.stack(draws).argmin(axis=0)
+        for k, (_, child, _) in enumerate(live):
+            down(rows[least == k], child, places[k])
+
+    down(np.arange(len(key)), nodes, np.zeros(1, np.uint64))
     return shard
 
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = 40, weights: dict[int, float] | None = None) -> DataFrame:
     """(id, size long, text_crc32 long, shard int, grown_shard int, slot long) of every row.
 
-    grown_shard is the shard with one shard more, of weight 1.
+    grown_shard is the shard with one shard more, of weight 1, in a region of its own.
     """
     text = F.col(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -85,7 +96,8 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.col(id_col)).alias("h"),
     )
-    now, grown = tree(count, weights), tree(count + 1, weights)
+    now = tree(count, weights)
+    grown = [*now, [[(count, 1.0)]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
