@@ -280,6 +280,25 @@ def test_op4_code_lengths_and_accuracy(real):
     model = language_id.train(language_id.training_texts(real.where(~held)))
     out = language_id.identify(real, model, keep=["doc_id", "lang"]).where(held).collect()
     assert np.mean([r.lang == r.lang_pred for r in out]) > 0.95 and all(0 <= r.score <= 1 for r in out)
+    # scores tell how sure a language is: on short pieces they are spread, and right about as often as they say
+    pieces = [(r.text.encode()[i : i + 10], r.lang) for r in real.where(held & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect() for i in range(0, len(r.text) // 2, 50)]
+    pieces = [(p, k) for p, k in pieces if language_id.has_letter(p)]
+    pred, score = language_id.predict(model, [p for p, _ in pieces])
+    right, score = np.array([a == k for a, (_, k) in zip(pred, pieces, strict=True)]), np.array(score)
+    order = np.argsort(score)
+    low, high = order[: len(order) // 5], order[-len(order) // 5 :]
+    assert score[low].mean() < score[high].mean() - 0.05 and right[low].mean() < right[high].mean()
+    assert abs(right.mean() - score.mean()) < 0.1
+    with pytest.raises(ValueError, match="score"):
+        language_id.identify(real.withColumn("score", F.lit(1)), model, keep=["score"])
+
+
+def test_op4_languages_of_long_texts_and_many_names(spark):
+    rows = [(i, "aaa bbb " * 4000, "long", "s") for i in range(3)] + [(10 + i, "xyz zyx yyy", "short", "s") for i in range(5)] + [(100 + i, "qq", f"junk{i}", "s") for i in range(200)]
+    got = language_id.training_texts(docs_of(spark, rows))
+    assert {"long", "short"} <= set(got) and len(got) <= language_id.GROUPS
+    m = language_id.train({k: got[k] for k in ("long", "short")})
+    assert language_id.predict(m, [b"bbb aaa", b"zyx xyz"])[0] == ["long", "short"]
 
 
 def test_op4_messy(messy, empty):
@@ -317,12 +336,18 @@ def test_op5_targets_and_copies(request, spark, which):
     for s, x in naive_targets(sizes).items():
         own = [r for r in out if r.source == s]
         assert own[0].target == pytest.approx(x) and own[0].source_size == sizes[s]
-        if which != "messy":
-            assert abs(sum(r.taken for r in own) - x) <= 3 * max(r["size"] for r in own)
+        if which != "messy":  # a level's rounding is made good by the documents of the next
+            assert abs(sum(r.taken for r in own) - x) <= max(0.01 * x, max(r["size"] for r in own if r.copies) / 2)
     assert len(out) == len(rows) and all(0 <= r.copies <= 3 and r.taken == r.copies * r["size"] for r in out)
     assert Counter(map(tuple, out)) == Counter(map(tuple, mixing.mix(docs.repartition(3)).collect()))
 
 
+def test_op5_comes_near_every_target(spark, sf_dir):
+    out = mixing.mix(spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet"))
+    for r in out.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 0.015 * r.target
+
+
 def test_op6_rules_and_ratio(spark, sf_dir, duck):
     urls = ["http://A.Net/x", "https://example.net/en/1", "https://m.example.net/en/", "http://example.net/de", "http://x.example.com/de/?q", "http://example.com?u=/de/", "ftp://a.org/fr/x#y", "nothing", "", None, "://", "http://net", "http://b.com/a://c", "HTTP://Z.org/FR/"]
     pages = spark.createDataFrame([(i, u, "h", "x", 1) for i, u in enumerate(urls)], "page_id int, url string, html string, id string, verdict int")
@@ -354,6 +379,19 @@ def test_op6_rules_and_ratio(spark, sf_dir, duck):
         assert r == pytest.approx((logp(1, text) - logp(0, text)) / len(text), abs=1e-4)
     real = queries.op6_url_filter(spark, sf_dir)
     assert real.count() == duck.sql("SELECT count(*) FROM pages").fetchall()[0][0]
+    again = url_filter.judge(pages.unionByName(pages), queries.URL_RULES).collect()
+    assert len(again) == 2 * len(urls) and len({(r.id, r.verdict, r.ratio) for r in again}) == len(urls)
+
+
+def test_op6_verdicts_on_urls_without_a_rule(spark):
+    """A third of the examples get a last label that no rule names; the method should judge them as their rules did."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rules = {r.id: r.verdict for r in url_filter.judge(pages, queries.URL_RULES).where("rule is not null").collect()}
+    hidden = F.when(F.xxhash64("page_id") % 3 == 0, F.regexp_replace("url", r"example\.(net|com|org)", "example.info")).otherwise(F.col("url"))
+    out = url_filter.judge(pages.withColumn("url", hidden), queries.URL_RULES).where("rule is null").collect()
+    told = [(rules[r.id], r.verdict) for r in out if r.id in rules]
+    most = max(Counter(w for w, _ in told).values()) / len(told)
+    assert len(told) > 200 and np.mean([w == v for w, v in told]) > max(0.9, most), (most, len(told))
 
 
 def test_op7_duplicates(messy, empty):

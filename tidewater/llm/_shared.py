@@ -10,9 +10,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Groups (classes, languages) that a bounded sample is drawn from at most.
+GROUPS = 128
 #: Java regular expression of a word: a run of bytes other than the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,21 +76,36 @@ def lower_ascii(text: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, group: str, marks: list[str], rows: int) -> DataFrame:
-    """At most `rows` rows of each group, by a hash of the mark columns; groups are few (classes, languages).
+    """At most `rows` rows of each group, by a hash of the mark columns; of the GROUPS most frequent groups, null none.
 
     Counts first give the share of the hash range that holds about four times as many
     rows, so what is shuffled does not grow with the input.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
-    share = F.lit(0.0)
-    for g, n in counts.items():
-        share = F.when(F.col(group).eqNullSafe(F.lit(g)), F.lit(min(1.0, 4 * rows / n))).otherwise(share)
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(GROUPS).collect()
+    if not counts:
+        return df.limit(0)
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, 4 * rows / r[1]))])
+    share = F.coalesce(F.try_element_at(shares, F.col(group)), F.lit(0.0))
     h = F.xxhash64(F.lit("sample"), *[F.col(c) for c in marks])
     near = df.withColumn("_h", h).where(F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53)) < share)
     order = F.row_number().over(Window.partitionBy(group).orderBy("_h", *marks))
     return near.withColumn("_n", order).where(F.col("_n") <= rows).drop("_h", "_n")
 
 
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the likeliest logistic curve, by Newton steps with a slight ridge."""
+    scale = x.std() or 1.0
+    z = np.stack([x / scale, np.ones(len(x))], 1)
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), z.T @ (y - p) - 1e-3 * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0] / scale), float(w[1])
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], into: str, slices: int = 256, coarse: Column | None = None) -> DataFrame:
     """df with column `into`: a gapless number from 0 within each group.
 

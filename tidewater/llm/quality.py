@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm._shared import bounded_sample, small_batches
+from tidewater.llm._shared import bounded_sample, logistic, small_batches
 
 #: Bounds: labelled rows of each class that are learnt from, their longest, and a dictionary's bytes.
 TRAIN_ROWS, TRAIN_BYTES, DICT_BYTES = 1200, 20_000, 112_640
@@ -58,20 +58,6 @@ def difference(text: bytes | None, good: zstandard.ZstdCompressor, bad: zstandar
     return sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces) / len(text)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the likeliest logistic curve, by Newton steps with a slight ridge."""
-    scale = x.std() or 1.0
-    z = np.stack([x / scale, np.ones(len(x))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), z.T @ (y - p) - 1e-3 * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0] / scale), float(w[1])
-
-
 def train(good: list[bytes], bad: list[bytes], share_good: float) -> Model:
     """share_good: of all labelled rows, to which the curve is adjusted where the sample differs."""
     if not good or not bad:
@@ -90,7 +76,7 @@ def train(good: list[bytes], bad: list[bytes], share_good: float) -> Model:
     cg, cb = _compressor(a), _compressor(b)
     x = np.array([difference(t, cg, cb) for t in half(good, 1) + half(bad, 1)])
     y = np.r_[np.ones(len(half(good, 1))), np.zeros(len(half(bad, 1)))]
-    slope, offset = _logistic(x, y)
+    slope, offset = logistic(x, y)
     n = y.mean()
     offset += np.log(share_good / (1 - share_good)) - np.log(n / (1 - n)) if 0 < share_good < 1 else 0.0
     return Model(a, b, slope, float(offset))
