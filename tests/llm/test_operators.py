@@ -409,12 +409,28 @@ def test_op7_duplicates(messy, empty):
 
 def test_op7_directory_splits_until_buckets_fit():
     counts = {0: 5, 1: 5, 2**15: 3, 2**16 - 1: 30}
-    buckets = exact_dedup.directory(counts, 10)
+    buckets = exact_dedup.directory(counts, 10, 16)
     assert sum(2.0**-d for d, _ in buckets) == 1 and [p << 16 - d for d, p in buckets] == sorted(p << 16 - d for d, p in buckets)
     held = [sum(n for k, n in counts.items() if k >> 16 - d == p) for d, p in buckets]
     assert all(n <= 10 or d == 16 for n, (d, _) in zip(held, buckets, strict=True)) and sum(held) == 43
 
 
+def test_op7_index_is_in_files_and_asked_through_them(spark, real):
+    entries = exact_dedup.staged(exact_dedup.keys(real), "keys")
+    table = exact_dedup.build_directory(entries, capacity=20)
+    rows = table.orderBy("bucket").collect()
+    assert len(rows) > 8 and all(r.first == r.prefix << exact_dedup.DEEPEST - r.depth for r in rows)
+    index = exact_dedup.build_index(real, table).collect()
+    firsts = [r.first for r in rows]
+    for r in index:
+        prefix = (r.key + 2**63) >> 64 - exact_dedup.DEEPEST
+        assert firsts[r.bucket] <= prefix and (r.bucket + 1 == len(firsts) or prefix < firsts[r.bucket + 1])
+    assert max(Counter(r.bucket for r in index).values()) <= 20
+    # an index that knows other texts gives none of these rows an entry
+    other = exact_dedup.build_index(real.withColumn("text", F.concat(F.lit("x "), F.coalesce("text", F.lit("")))), table)
+    assert exact_dedup.look_up(entries, table, other).count() == 0
+
+
 def test_op8_quality(spark, sf_dir, messy, empty):
     big = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
