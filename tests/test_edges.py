@@ -1,6 +1,7 @@
 """Boundaries of the operators on literal rows."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -270,3 +271,79 @@ def test_seed_draws_have_their_odds(spark):
     got = kmeans._draws(df, np.array([[0.0]]), 400, 5)[:, 0]
     assert np.allclose([(got == i).mean() for i in range(4)], [0, 1 / 14, 4 / 14, 9 / 14], atol=0.08)
     assert kmeans._left(df, np.array([[0.0]]), np.array([[3.0], [1.0]])) == [2000.0, 5000.0]
+
+
+def test_two_nearest_of_one_key_in_linear_time(spark):
+    """Frames that are begun anew for each row would take minutes for these rows."""
+    n = 100_000
+    pings = spark.range(n).select(F.col("id").alias("ping"), F.lit("k").alias("k"), F.timestamp_micros(F.col("id") * 1_000_000 + 500_000).cast("timestamp_ntz").alias("ts"))
+    rec = spark.range(n).select(F.lit("k").alias("on"), F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz").alias("start"), F.format_string("p%06d", "id").alias("path"))
+    out = matching.nearest2_backward(pings, rec.withColumnRenamed("on", "k"), "k", "ts", "start", "path", "ping")
+    began = time.time()
+    assert out.where(F.col("match_path") == F.format_string("p%06d", "ping")).count() == n
+    assert time.time() - began < 60
+
+
+def by_hand(x, m, iterations):
+    m = m.copy()
+    for _ in range(iterations):
+        near = ((x[:, None, :] - m[None, :, :]) ** 2).sum(2).argmin(1)
+        for c in range(len(m)):
+            if (near == c).any():
+                m[c] = x[near == c].mean(0)
+    return m
+
+
+@pytest.mark.parametrize("cells", [kmeans.LITERAL_CELLS, 0])
+def test_lloyd_by_hand(spark, sf_dir, monkeypatch, cells):
+    monkeypatch.setattr(kmeans, "LITERAL_CELLS", cells)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").repartition(3)
+    x = np.array([r.embedding for r in e.orderBy("vec_id").collect()], dtype=np.float64)
+    first = kmeans.seeds(e, "vec_id", 5, method="random")
+    start = np.array([r.cvec for r in first.orderBy("cid").collect()])
+    with_null = e.unionByName(spark.createDataFrame([(-1, None)], "vec_id long, embedding array<float>").select("vec_id", "embedding"))
+    for n in (0, 1, 4):
+        got = np.array([r.cvec for r in kmeans.lloyd(with_null, first, n).orderBy("cid").collect()])
+        assert np.allclose(got, by_hand(x, start, n))
+    a = {r.vec_id: (r.cid, r.dist) for r in kmeans.assign(with_null, first).collect()}
+    d = ((x[:, None, :] - start[None, :, :]) ** 2).sum(2)
+    assert a.pop(-1) == (None, None) and [a[i][0] for i in sorted(a)] == d.argmin(1).tolist() and np.allclose([a[i][1] for i in sorted(a)], d.min(1))
+    # of several starts, the one that leaves the least
+    runs = [kmeans.lloyd(e, kmeans.seeds(e, "vec_id", 5, seed=42 + 1000 * s), 2) for s in range(3)]
+    left = [kmeans.potential(kmeans.assign(e, c)).first().potential for c in runs]
+    best = kmeans.kmeans(e, "vec_id", 5, iterations=2, starts=3)
+    assert np.allclose(sorted(r.cvec for r in best.collect()), sorted(r.cvec for r in runs[int(np.argmin(left))].collect()))
+
+
+def test_hierarchy_by_hand(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    low, high = kmeans.hierarchy(e, "vec_id", [6, 2], [4, 1], resamples=1, iterations=3)
+    data = {r.vec_id: np.array(r.embedding, dtype=np.float64) for r in e.collect()}
+    c = kmeans.kmeans(e, "vec_id", 6, 3)
+    m = np.array([r.cvec for r in c.orderBy("cid").collect()])
+    d = {i: ((m - v) ** 2).sum(1) for i, v in data.items()}
+    near = {i: int(x.argmin()) for i, x in d.items()}
+    kept = [i for k in range(6) for i in sorted((i for i in near if near[i] == k), key=lambda i: (d[i][k], i))[:4]]
+    again = kmeans.kmeans(e.where(F.col("vec_id").isin(kept)), "vec_id", 6, 3, seed=43)
+    want = np.array([r.cvec for r in again.orderBy("cid").collect()])
+    assert np.allclose([r.cvec for r in low.centroids.orderBy("cid").collect()], want)
+    assert {r.vec_id: r.cid for r in low.assigned.collect()} == {i: int(((want - v) ** 2).sum(1).argmin()) for i, v in data.items()}
+    assert high.centroids.count() == 2 and high.assigned.count() == 6
+
+
+def test_nearest_of_ties_and_near_ties():
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(40, 8)) * 1e3
+    m = np.concatenate([m, m[::-1]])  # every centre twice: the first counts
+    x = np.concatenate([m[:40] + rng.normal(size=(40, 8)) * 1e-7, (m[:20] + m[20:40]) / 2])
+    for kind in ("l2", "cos"):
+        place, dist = kmeans.nearest(x, m, kind)
+        d = ((x[:, None, :] - m[None, :, :]) ** 2).sum(2) if kind == "l2" else 2 - 2 * (x @ m.T)
+        assert (place < 40).all() and np.allclose(dist, d.min(1), rtol=1e-9, atol=1e-6)
+
+
+def test_groups_with_null_names_and_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "HELD_CELLS", 2)
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), (None, [5.0, 6.0]), ("b", None), (None, [7.0, 8.0])], "g string, embedding array<double>").repartition(2)
+    assert {(r.g, tuple(r.cvec), r.n) for r in kmeans.means(df, "g").collect()} == {("a", (2.0, 3.0), 2), (None, (6.0, 7.0), 2)}
+    assert kmeans.means(df.limit(0), "g").count() == 0

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater import schemas
 from tidewater.operators import hierarchy, kmeans, sessions
 from tidewater.sinks import tables as sinks
 from tidewater.sources import audio
@@ -93,13 +94,80 @@ def parts(spark, tmp_path, sf_dir):
     return spark.read.parquet(str(tmp_path / "in"))
 
 
-def test_visits_of_a_stream(spark, tmp_path, parts):
-    s = streams.visits(streams.table_stream(spark, str(tmp_path / "in"), parts.schema.simpleString()[7:-1].replace(":", " "), 9), "user_id", "ts", late="60 days")
-    q = s.writeStream.format("memory").queryName("visits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+def streamed(made, name, at):
+    q = made.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(at)).trigger(availableNow=True).start()
     q.awaitTermination()
-    done = {tuple(r) for r in spark.sql("SELECT user_id, start_time, end_time, n FROM visits").collect()}
-    batch = {(r.user_id, r.start_time, r.end_time, r.n) for r in sessions.visits(parts, "user_id", "ts").collect()}
-    assert done <= batch
+    return made.sparkSession.sql(f"SELECT * FROM {name}").collect()
+
+
+def test_visits_of_a_stream(spark, tmp_path, parts):
+    """All pings come in one batch; the visits that the watermark has passed are those of the batch operator."""
+    rows = streams.table_stream(spark, str(tmp_path / "in"), parts.schema.simpleString()[7:-1].replace(":", " "), 9)
+    done = {(r.user_id, r.start_time, r.end_time, r.n) for r in streamed(streams.visits(rows, "user_id", "ts", gap="6 hours", late="1 hour"), "visits", tmp_path / "cp")}
+    batch = sessions.visits(parts.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 6 * 3600)
+    last = parts.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    want = {(r.user_id, r.start_time, r.end_time, r.n) for r in batch.collect() if r.end_time + dt.timedelta(hours=7) < last}
+    assert len(want) > 500 and done == want and max(n for *_, n in done) > 1
+
+
+def test_windows_of_a_stream(spark, tmp_path, parts):
+    rows = streams.table_stream(spark, str(tmp_path / "in"), parts.schema.simpleString()[7:-1].replace(":", " "), 9)
+    done = {(r.start, r.event_type, r.n) for r in streamed(streams.tumbling(rows, "ts", "event_type", "1 day"), "days", tmp_path / "cp")}
+    all_ = parts.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", "event_type", "n").collect()
+    last = parts.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    want = {(r.start, r.event_type, r.n) for r in all_ if r.end <= last - dt.timedelta(hours=1)}
+    assert len(want) > 20 and done == want
+
+
+def test_streams_of_files(spark, tmp_path):
+    folder = tmp_path / "pings"
+    folder.mkdir()
+    names = [c.split(" ")[0] for c in schemas.PINGS.split(", ")]
+    (folder / "a.csv").write_text(",".join(names) + "\n" + "7,2020-01-02T03:04:05" + "," * (len(names) - 2) + "\n")
+    got = streamed(streams.ping_stream(spark, str(folder)), "pings", tmp_path / "cp1")
+    assert [(r.MMSI, r.BaseDateTime, r.ais_file) for r in got] == [(7, dt.datetime(2020, 1, 2, 3, 4, 5), "a.csv")]
+    sounds = tmp_path / "sounds"
+    (sounds / "deep").mkdir(parents=True)
+    for name in ("S_20190101_000000.wav", "deep/S_20200101_000000.flac", "deep/notes.txt"):
+        (sounds / name).write_bytes(b"x")
+    for since, n in ((None, 2), ("2019-06-01", 1)):
+        assert len(streamed(streams.file_stream(spark, str(sounds), since), f"sounds{n}", tmp_path / f"cp2{n}")) == n
+
+
+def test_tables_of_annotations_windows_and_tracks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("FileOk,ClassSpecies,FilePath,Soundfile,Dataset,FileBeginSec,FileEndSec\ntrue,KW,x/y.flac,y.flac,D,1.5,2.5\n")
+    a = sources.annotations(spark, str(tmp_path / "a.csv")).first()
+    assert (a.FileOk, a.ClassSpecies, a.FileBeginSec, a.FileEndSec) == (True, "KW", 1.5, 2.5)
+    names = [c.split(" ")[0] for c in schemas.WINDOWS.split(", ")]
+    cells = {"file": "f", "labels": "KW|HW", "multilabel": "true", "window_start": "0.5", "num_labels": "2"}
+    (tmp_path / "w.csv").write_text(",".join(names) + "\n" + ",".join(cells.get(n, "") for n in names) + "\n")
+    w = sources.windows(spark, str(tmp_path / "w.csv")).first()
+    assert (w.file, w.labels, w.multilabel, w.window_start, w.num_labels, w.sample_rate) == ("f", ["KW", "HW"], True, 0.5, 2, None)
+    (tmp_path / "t.csv").write_text("file_name,MMSI,timestamp,lat,lon,az_deg,el_deg,range_m\nf.flac,7,2020-01-01T00:00:10,1.0,2.0,90.0,45.0,1000.0\n")
+    t = sources.track(spark, str(tmp_path / "t.csv")).first()
+    assert (t.file_name, t.MMSI, t.timestamp, t.range_m) == ("f.flac", 7, dt.datetime(2020, 1, 1, 0, 0, 10), 1000.0)
+
+
+def test_hierarchy_of_a_stream(spark, tmp_path, sf_dir):
+    """Batch by batch the stream's models are those of the steps run one after the other."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    parts = [e.where(F.col("vec_id") % 2 == i) for i in range(2)]
+    clusters, samples = [6, 2], [5, 2]
+    want = None
+    for i, p in enumerate(parts):  # a batch a run, in this order
+        p.coalesce(1).write.parquet(str(tmp_path / "in" / f"b={i}"))
+        rows = streams.table_stream(spark, str(tmp_path / "in" / "b=*"), "vec_id long, embedding array<float>").select("vec_id", "embedding")
+        streams.hierarchical_centroids(rows, "vec_id", clusters, samples, str(tmp_path / "st"), str(tmp_path / "cp"), resamples=2).awaitTermination()
+        want = kmeans.stream_step(want, p, "vec_id", clusters, samples, resamples=2)
+    got = streams.latest(spark, str(tmp_path / "st")).collect()
+    assert len(got) == 2 * (6 + 2)
+    for level, both in enumerate(want):
+        for kind, model in zip(("initial", "final"), both, strict=True):
+            own = {r.cid: r for r in got if (r.level, r.kind) == (level, kind)}
+            for r in model.collect():
+                assert own[r.cid].n == r.n and np.allclose(own[r.cid].cvec, r.cvec)
+    first = {r.cid: r.n for r in got if (r.level, r.kind) == (0, "initial")}
+    assert sum(first.values()) == e.count() + 6
 
 
 def test_nearest_rows_of_a_stream(spark, tmp_path, parts):

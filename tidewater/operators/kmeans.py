@@ -1,7 +1,7 @@
 """Nearest centroids, k-means in batch and online, and hierarchies of them.
 
-Centroids are small (levels of thousands); they are broadcast only up to
-BROADCAST_CELLS numbers, and joined in blocks by Arrow batches beyond.
+Centroids are small (levels of thousands); they are counted before they come to the
+driver and are broadcast up to BROADCAST_CELLS numbers, beyond which assign() refuses.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -26,46 +26,152 @@ LITERAL_CELLS, BROADCAST_CELLS = 20_000, 50_000_000
 SEED_STEP = 64
 
 
-def assign(rows: DataFrame, centroids: DataFrame, vec: str = "embedding", kind: str = "l2", cid: str = "cid", cvec: str = "cvec") -> DataFrame:
-    """rows with cid and dist of the nearest centroid; the lowest id of equal ones.
+def nearest(x: np.ndarray, centres: np.ndarray, kind: str = "l2") -> tuple[np.ndarray, np.ndarray]:
+    """(place, distance) of each row's nearest centre; the first of equal ones.
 
-    Distances are summed term by term, not expanded, so near ties do not flip.
+    Distances are expanded into one matrix product, some rows at a time; where
+    another centre comes within its rounding error, both are summed term by term.
     """
-    c = centroids.orderBy(cid).select(cid, doubles(F.col(cvec)).alias(cvec)).collect()
-    if not c:
+    place, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+    norms = (centres**2).sum(1)
+    step = max(1, 2_000_000 // max(1, len(centres)))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        d = norms - 2 * (part @ centres.T) if kind == "l2" else -2 * (part @ centres.T)
+        best = d.argmin(1)
+        slack = 1e-9 * (1 + norms.max() + (part**2).sum(1))
+        close = d <= (d[np.arange(len(part)), best] + slack)[:, None]
+        for i in np.flatnonzero(close.sum(1) > 1):
+            some = np.flatnonzero(close[i])
+            exact = ((part[i] - centres[some]) ** 2).sum(1) if kind == "l2" else -2 * (centres[some] @ part[i])
+            best[i] = some[exact.argmin()]
+        place[at : at + step] = best
+        dist[at : at + step] = ((part - centres[best]) ** 2).sum(1) if kind == "l2" else 2 - 2 * (part * centres[best]).sum(1)
+    return place, dist
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow batch, which has a vector in every row, as rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def table_of(centroids: DataFrame, cid: str = "cid", cvec: str = "cvec") -> tuple[list, np.ndarray]:
+    """(ids, vectors) of centroids, by id. They are counted before they come to the driver, as one Arrow table."""
+    c = centroids.select(F.col(cid).alias("i"), doubles(F.col(cvec)).alias("v"))
+    cells = c.agg(F.sum(F.size("v"))).first()[0]
+    if not cells:
         raise ValueError("no centroids")
-    cells = sum(len(r[cvec]) for r in c)
     if cells > BROADCAST_CELLS:
         raise ValueError(f"{cells} centroid entries are more than BROADCAST_CELLS; assign to fewer centroids at a time")
-    if cells <= LITERAL_CELLS:
-        table = F.array(*[F.struct(F.lit(r[cid]).alias("i"), F.split(F.lit(",".join(map(repr, r[cvec]))), ",").cast("array<double>").alias("v")) for r in c])
+    t = c.toArrow().sort_by("i").combine_chunks()
+    return t["i"].to_pylist(), _matrix(t["v"].combine_chunks())
+
+
+def assign(rows: DataFrame, centroids: DataFrame, vec: str = "embedding", kind: str = "l2", cid: str = "cid", cvec: str = "cvec") -> DataFrame:
+    """rows with cid and dist of the nearest centroid; the lowest id of equal ones. Null vectors have neither.
+
+    Few centroids are a literal of the plan and compared by the JVM; more are
+    broadcast as one array, up to BROADCAST_CELLS numbers, and compared in Arrow
+    batches.
+    """
+    ids, m = table_of(centroids, cid, cvec)
+    if m.size <= LITERAL_CELLS:
+        table = F.array(*[F.struct(F.lit(i).alias("i"), F.split(F.lit(",".join(map(repr, v.tolist()))), ",").cast("array<double>").alias("v")) for i, v in zip(ids, m, strict=True)])
         best = F.array_min(F.transform(table, lambda x: F.struct(distance(F.col(vec), x.v, kind).alias("d"), x.i.alias("i"))))
+        best = F.when(F.col(vec).isNotNull(), best)
         return rows.withColumn("_best", best).withColumn(cid, F.col("_best.i")).withColumn("dist", F.col("_best.d")).drop("_best")
-    ids = [r[cid] for r in c]
-    shared = rows.sparkSession.sparkContext.broadcast(np.array([r[cvec] for r in c]))
+    shared = rows.sparkSession.sparkContext.broadcast(m)
     columns, id_type = rows.columns, to_arrow_type(centroids.schema[cid].dataType)
     at = columns.index(vec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        named = pa.array(ids, id_type)
         for b in batches:
-            x = np.array(b.column(at).to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
-            best, near = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
-            for k in range(len(m)):
-                d = ((x - m[k]) ** 2).sum(1) if kind == "l2" else 2 - 2 * (x @ m[k])
-                less = d < best
-                best, near = np.where(less, d, best), np.where(less, k, near)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([ids[k] for k in near], id_type), pa.array(best)], [*columns, cid, "dist"])
+            there = b.column(at).is_valid().to_numpy(zero_copy_only=False)
+            near, best = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            if there.any():
+                near[there], best[there] = nearest(_matrix(b.column(at).drop_null()), shared.value, kind)
+            yield pa.RecordBatch.from_arrays([*b.columns, named.take(pa.array(near, mask=~there)), pa.array(best, mask=~there)], [*columns, cid, "dist"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{schema}, `{cid}` {centroids.schema[cid].dataType.simpleString()}, dist double")
 
 
+def _added(parts: DataFrame, group: str, kind: str) -> DataFrame:
+    """(group, v, n): sums of the vectors v and numbers n of each group, from rows that hold sums of some."""
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, count = None, None, 0
+        for b in batches:
+            for g, v, k in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                v = v.values.to_numpy(zero_copy_only=False)
+                if total is not None and g == now:
+                    total, count = total + v, count + k
+                    continue
+                if total is not None:
+                    yield out(b.column(0).type, now, total, count)
+                now, total, count, type_ = g, v, k, b.column(0).type
+        if total is not None:
+            yield out(type_, now, total, count)
+
+    def out(type_: pa.DataType, g: object, v: np.ndarray, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g], type_), pa.array([v], pa.list_(pa.float64())), pa.array([n], pa.int64())], [group, "v", "n"])
+
+    return parts.repartition(n, group).sortWithinPartitions(group).mapInArrow(run, f"`{group}` {kind}, v array<double>, n long")
+
+
+#: Numbers of partial sums that a task holds before it hands them on.
+HELD_CELLS = 4_000_000
+
+
+def sums(rows: DataFrame, group: str, vec: str = "embedding", near: tuple[list, np.ndarray] | None = None, distances: str = "l2") -> DataFrame:
+    """(group, v, n): the sum of each group's vectors and their number.
+
+    With `near`, (ids, vectors) of centroids, a row's group is the id of the nearest.
+    Tasks add up on their own first, so what is shuffled has a row a group and task.
+    """
+    some = rows.where(F.col(vec).isNotNull())
+    kind = "int" if near else rows.schema[group].dataType.simpleString()
+    columns = [doubles(F.col(vec)).alias("v")] + ([] if near else [F.col(group).alias("g")])
+    shared = rows.sparkSession.sparkContext.broadcast(near) if near else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out(type_: pa.DataType) -> pa.RecordBatch:
+            arrays = [pa.array(list(held), type_), pa.array([x[0] for x in held.values()], pa.list_(pa.float64())), pa.array([x[1] for x in held.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, [group, "v", "n"])
+
+        type_ = pa.int32()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(0))
+            if shared:
+                ids, m = shared.value
+                code, names = nearest(x, m, distances)[0], ids
+            else:
+                coded = b.column(1).dictionary_encode()
+                type_, names = b.column(1).type, [*coded.dictionary.to_pylist(), None]
+                code = np.nan_to_num(coded.indices.to_numpy(zero_copy_only=False).astype(np.float64), nan=len(names) - 1).astype(np.int64)
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+            for c, v, n in zip(code[order][first], np.add.reduceat(x[order], first, axis=0), np.diff(np.r_[first, len(x)]), strict=True):
+                own = held.get(names[c])
+                held[names[c]] = (v, int(n)) if own is None else (own[0] + v, own[1] + int(n))
+            if len(held) * x.shape[1] > HELD_CELLS:
+                yield out(type_)
+                held = {}
+        if held:
+            yield out(type_)
+
+    return _added(some.select(*columns).mapInArrow(run, f"`{group}` {kind}, v array<double>, n long"), group, kind)
+
+
 def means(rows: DataFrame, group: str, vec: str = "embedding") -> DataFrame:
-    """(group, cvec, n): the mean vector of each group, entry by entry."""
-    parts = rows.where(F.col(vec).isNotNull()).select(group, F.posexplode(doubles(F.col(vec))).alias("_pos", "_x"))
-    entry = parts.groupBy(group, "_pos").agg(F.avg("_x").alias("_x"), F.count(F.lit(1)).alias("n"))
-    return entry.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda e: e._x).alias("cvec"), F.max("n").alias("n"))
+    """(group, cvec, n): the mean vector of each group; null vectors do not count."""
+    return sums(rows, group, vec).select(group, F.transform("v", lambda x: x / F.col("n")).alias("cvec"), "n")
 
 
 def updated(centroids: DataFrame, assigned: DataFrame, vec: str = "embedding", cid: str = "cid") -> DataFrame:
@@ -198,19 +304,28 @@ def seeds(rows: DataFrame, key: str, k: int, vec: str = "embedding", method: str
     return rows.sparkSession.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(chosen)], "cid int, cvec array<double>")
 
 
+def _table(spark: SparkSession, ids: list, m: np.ndarray) -> DataFrame:
+    """(cid, cvec) of centroids; a literal of the plan if they are few, else a table in the shared folder."""
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, max(1, m.shape[1])), pa.int32()), pa.array(m.ravel()))
+    made = spark.createDataFrame(pa.table({"cid": pa.array(ids, pa.int32()), "cvec": flat}), "cid int, cvec array<double>")
+    return made if m.size <= LITERAL_CELLS else cut(made)
+
+
 def lloyd(rows: DataFrame, centroids: DataFrame, iterations: int, vec: str = "embedding", kind: str = "l2") -> DataFrame:
     """Centroids after a fixed number of assignments and means; an empty cluster keeps its vector.
 
-    The centroids are rows of the plan, so lineage does not grow with the iterations;
-    assign() bounds their size. Each iteration is one shuffle of partial sums.
+    An iteration broadcasts the centroids as one array, adds up within each task, and
+    shuffles a row a centroid and task; table_of() bounds what comes to the driver.
     """
-    now = {r.cid: list(r.cvec) for r in centroids.orderBy("cid").collect()}
-    back = lambda: rows.sparkSession.createDataFrame(list(now.items()), "cid int, cvec array<double>")
-    for _ in range(iterations if now else 0):
-        entries = assign(rows, back(), vec, kind).where(F.col(vec).isNotNull()).select("cid", F.posexplode(doubles(F.col(vec))).alias("pos", "x"))
-        for r in entries.groupBy("cid", "pos").agg(F.avg("x").alias("x")).collect():
-            now[r.cid][r.pos] = r.x
-    return back()
+    if not iterations or centroids.isEmpty():
+        return centroids.select("cid", doubles(F.col("cvec")).alias("cvec"))
+    ids, m = table_of(centroids)
+    for _ in range(iterations):
+        got = sums(rows, "cid", vec, (ids, m), kind).toArrow().combine_chunks()
+        if got.num_rows:
+            m = m.copy()
+            m[np.searchsorted(ids, got["cid"].to_numpy())] = _matrix(got["v"].combine_chunks()) / got["n"].to_numpy()[:, None]
+    return _table(rows.sparkSession, ids, m)
 
 
 def kmeans(rows: DataFrame, key: str, k: int, iterations: int = 50, starts: int = 1, vec: str = "embedding", kind: str = "l2", method: str = "k-means++", seed: int = 42) -> DataFrame:
@@ -253,6 +368,33 @@ def hierarchy(rows: DataFrame, key: str, clusters: list[int], samples: list[int]
     return out
 
 
+def stream_step(state: list[tuple[DataFrame, DataFrame]] | None, rows: DataFrame, key: str, clusters: list[int], samples: list[int], resamples: int = 10, vec: str = "embedding", seed: int = 42) -> list[tuple[DataFrame, DataFrame]]:
+    """A hierarchy's models after a further batch: for each level (initial, final), each (cid, cvec, n).
+
+    A level's initial model moves with all of the batch; its final model moves, time
+    and again, with the `samples` rows that are closest to each of its centroids, the
+    first time to the initial model's. The next level's batch is this level's final
+    centroids. Without a state, initial models are seeded from the batch and final ones
+    start as copies of the moved initial ones. A level with samples of 1 or less has a
+    final model equal to its initial one.
+    """
+    if len(clusters) != len(samples):
+        raise ValueError("as many sample sizes as levels are needed")
+    out: list[tuple[DataFrame, DataFrame]] = []
+    data, name, v = rows, key, vec
+    for level, (k, s) in enumerate(zip(clusters, samples, strict=True)):
+        first, last = state[level] if state else (seeds(data, name, k, v, seed=seed).withColumn("n", F.lit(1).cast("long")), None)
+        first = cut(online_update(first, assign(data, first, v), v))
+        last, near = first if last is None or s <= 1 else last, first
+        for _ in range(resamples if s > 1 else 0):
+            some = closest(assign(data, near, v).where(F.col(v).isNotNull()), name, s).select(*data.columns)
+            last = cut(online_update(last, assign(some, last, v), v))
+            near = last
+        out.append((first, last))
+        data, name, v = last.select(F.col("cid").alias("id"), F.col("cvec").alias("vec")), "id", "vec"
+    return out
+
+
 def applied(rows: DataFrame, levels: list[DataFrame], vec: str = "embedding") -> list[DataFrame]:
     """Assignments of rows to frozen centroids, and of each level's centroids to the next's."""
     out, data, v = [], rows, vec

@@ -16,9 +16,11 @@ def nearest2_backward(pings: DataFrame, recordings: DataFrame, on: str, ping_ts:
     the lesser path.
 
     The nearest two can only be among the two starts on either side, so pings and
-    starts are sorted together once per key and nothing is paired.
+    starts are sorted together, once forwards and once backwards, and nothing is
+    paired. Every frame begins at the first row of its key, so that it is carried on
+    from row to row: the time grows with a key's rows, not with their square.
     """
-    w = Window.partitionBy("_k").orderBy("_t", "_ping", "_path")
+    back = Window.partitionBy("_k").orderBy(F.col("_t").desc(), F.col("_ping").desc(), F.col("_path").desc())
     rec = recordings.where(F.col(start).isNotNull()).select(F.col(on).alias("_k"), micros(F.col(start)).alias("_t"), F.col(path).alias("_path"), F.col(start).alias("_s"))
     p = pings.withColumns({"_k": F.col(on), "_t": micros(F.col(ping_ts))})
     own = F.struct(F.col("_t").alias("t"), F.col("_path").alias("path"), F.col("_s").alias("s"))
@@ -30,10 +32,9 @@ def nearest2_backward(pings: DataFrame, recordings: DataFrame, on: str, ping_ts:
     both = both.withColumn("_prev", F.when(F.col("_ping") == 0, F.last("_me", ignorenulls=True).over(left.rowsBetween(Window.unboundedPreceding, -1))))
     pair = F.struct(F.col("_me").alias("a"), F.col("_prev").alias("b"))
     both = both.withColumn("_l", F.last(F.when(F.col("_ping") == 0, pair), ignorenulls=True).over(upto))
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = both.withColumn("_next", F.when(F.col("_ping") == 0, F.first("_me", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))))
+    both = both.withColumn("_next", F.when(F.col("_ping") == 0, F.last("_me", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))))
     pair = F.struct(F.col("_me").alias("a"), F.col("_next").alias("b"))
-    both = both.withColumn("_r", F.first(F.when(F.col("_ping") == 0, pair), ignorenulls=True).over(after))
+    both = both.withColumn("_r", F.last(F.when(F.col("_ping") == 0, pair), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     near = F.filter(F.array("_l.a", "_l.b", "_r.a", "_r.b"), lambda c: c.isNotNull())
     ranked = F.array_sort(F.transform(near, lambda c: F.struct(F.abs(F.col("_t") - c.t).alias("d"), c.path.alias("path"), c.t.alias("t"), c.s.alias("s"))))
     ok = (lambda c: c.t < F.col("_t")) if strict else (lambda c: c.t <= F.col("_t"))

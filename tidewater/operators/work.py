@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def work_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder on a local master, else the warehouse."""
@@ -15,7 +17,10 @@ def work_folder(spark: SparkSession) -> str:
         return told.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return tempfile.mkdtemp(prefix="tidewater-")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="tidewater-")
+    return _own[app]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -55,6 +55,16 @@ _NAMED = """x AS (SELECT event_id, CASE event_id % 8
     CASE WHEN regexp_full_match(last, '\\d{12}') THEN try_strptime(last, '%y%m%d%H%M%S') END,
     CASE WHEN regexp_full_match(s, '\\d{6} \\d{6}') THEN try_strptime(s, '%y%m%d %H%M%S') END) AS start_ts FROM j)"""
 
+_TRACK = """t0 AS (SELECT event_id, ts, (event_id % 120 - 60)::DOUBLE AS lat, (user_id % 300 - 150)::DOUBLE AS lon, event_id % 23 + 0.5::DOUBLE AS sog, (event_id * 7 % 360)::DOUBLE AS cog FROM events),
+  t1 AS (SELECT *, sqrt(1 - 6.69437999014e-3 * sin(radians(lat)) * sin(radians(lat))) AS w FROM t0),
+  t AS (SELECT *, 6378137.0 * (1 - 6.69437999014e-3) / (w * w * w) AS north, 6378137.0 * cos(radians(lat)) / w AS east FROM t1)"""
+
+
+def _reckoned(seconds: str) -> tuple[str, str]:
+    d = f"sog * (1852.0::DOUBLE / 3600.0::DOUBLE) * ({seconds})"
+    return f"(lat + degrees({d} * cos(radians(cog)) / north))", f"(lon + degrees({d} * sin(radians(cog)) / east))"
+
+
 _ANN = """a0 AS (SELECT event_id AS idx, value > 1.0 AS ok, CASE WHEN event_type = 'error' THEN ' ' ELSE event_type || ' sp' END AS label,
     'day' || dayofyear(ts) || '/' || (user_id % 10) AS path, 'f' || dayofyear(ts) || '_' || (user_id % 10) AS sound,
     (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::DOUBLE AS b, value FROM events),
@@ -247,7 +257,15 @@ def _sql() -> dict[str, str]:
         "argmax_class": "SELECT vec_id, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS pred FROM embeddings",
         "mean_pooled": "SELECT vec_id % 20 AS rec, pos, round(avg(x), 6) AS x FROM (SELECT vec_id, unnest(range(0, 64)) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY ALL",
         "distinct_labels": "SELECT count(DISTINCT label) AS n_labels FROM embeddings",
-        "by_duration": f"WITH v AS ({_visits(6 * 3600)}) SELECT user_id, start_time, round((epoch_us(end_time) - epoch_us(start_time)) / 1e6::DOUBLE, 6) AS seconds FROM v ORDER BY seconds DESC, user_id, start_time LIMIT 100",
+        "track_grid": f"WITH {_TRACK} SELECT event_id, step, ts + to_seconds(step * 10) AS timestamp, round({_reckoned('step * 10')[0]}, 7) AS lat_at, round({_reckoned('step * 10')[1]}, 7) AS lon_at FROM t, (SELECT unnest([0, 1, 2]) AS step)",
+        "track_bearing": f"""WITH {_TRACK}, g AS (SELECT *, {_reckoned('60')[0]} AS lat_at, {_reckoned('60')[1]} AS lon_at FROM t),
+          d AS (SELECT event_id, radians(lat_at - lat) * north AS y, radians(lon_at - lon) * east AS x FROM g)
+          SELECT event_id, round((degrees(atan2(x, y)) + 360) % 360, 4) AS az_deg, round(degrees(atan2(100, sqrt(x * x + y * y))), 5) AS el_deg, round(sqrt(x * x + y * y + 10000), 3) AS range_m FROM d""",
+        "class_scores": "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 9) AS p FROM embeddings",
+        "vector_windows": """SELECT vec_id, i::INT AS window, round(list_sum(list_transform(embedding[i * 10 + 1:i * 10 + 10], lambda x: x::DOUBLE)), 6) AS total,
+          round(embedding[3]::DOUBLE, 6) AS y4, round(embedding[2]::DOUBLE, 6) AS y5 FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 10)) AS i FROM embeddings)""",
+        "label_counts": f'WITH {_ANN} SELECT label AS "ClassSpecies", count(*) AS n FROM a GROUP BY label',
+        "by_duration": f"WITH v AS ({_visits(6 * 3600)}) SELECT user_id, start_time, round((epoch_us(end_time) - epoch_us(start_time)) / 1e6::DOUBLE, 6) AS seconds FROM v ORDER BY seconds DESC, user_id, start_time",
         "first_groups": "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 10)",
         "known_files": "SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click')",
         "complement": "SELECT DISTINCT user_id FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import intervals, names, vectors
 from tidewater.functions.chance import uniform
-from tidewater.operators import annotations, evaluate, hierarchy, kmeans, matching, ordered, probe, sampling, sessions, splits
+from tidewater.operators import annotations, evaluate, hierarchy, kmeans, matching, ordered, probe, sampling, sessions, splits, tracks
 
 #: Pings a vessel keeps whole; the driver's tables have 49 pings and more a user.
 T = 60
@@ -620,11 +620,51 @@ def distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # order and sets
 
 
+def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as position reports: a place, a speed and a course made of their numbers."""
+    e = events(spark, sf_dir)
+    place = {"LAT": F.col("event_id") % 120 - 60.0, "LON": F.col("user_id") % 300 - 150.0, "SOG": F.col("event_id") % 23 + 0.5, "COG": (F.col("event_id") * 7 % 360).cast("double")}
+    return e.select("event_id", F.col("ts").alias("BaseDateTime"), *[c.cast("double").alias(k) for k, c in place.items()])
+
+
+@query
+def track_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = tracks.grid(_tracked(spark, sf_dir), 3, 10)
+    return g.select("event_id", "step", "timestamp", F.round("lat_at", 7).alias("lat_at"), F.round("lon_at", 7).alias("lon_at"))
+
+
+@query
+def track_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = tracks.grid(_tracked(spark, sf_dir), 2, 60).where("step = 1")
+    az, el, far = tracks.bearing(F.col("lat_at"), F.col("lon_at"), F.lit(100.0), F.col("LAT"), F.col("LON"))
+    return g.select("event_id", F.round(az, 4).alias("az_deg"), F.round(el, 5).alias("el_deg"), F.round(far, 3).alias("range_m"))
+
+
+@query
+def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logistic function of each vector's first entry."""
+    return _emb(spark, sf_dir).select("vec_id", F.round(vectors.sigmoid(F.col("embedding")[0].cast("double")), 9).alias("p"))
+
+
+@query
+def vector_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector's windows of 10 entries, and its first 3 entries padded to 5 backwards: the sums of each."""
+    v = vectors.doubles(F.col("embedding"))
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 6)
+    w = _emb(spark, sf_dir).select("vec_id", F.posexplode(vectors.equal_windows(v, 10)).alias("window", "x"), vectors.reflect_padded(F.slice(v, 1, 3), 5).alias("y"))
+    return w.select("vec_id", "window", total(F.col("x")).alias("total"), F.round(F.element_at("y", 4), 6).alias("y4"), F.round(F.element_at("y", 5), 6).alias("y5"))
+
+
+@query
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.label_counts(annotations.usable(_annotations(spark, sf_dir)), "ClassSpecies")
+
+
 @query
 def by_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _visits(spark, sf_dir, 6 * 3600)
     seconds = intervals.seconds_between(F.col("start_time"), F.col("end_time"))
-    return v.select("user_id", "start_time", F.round(seconds, 6).alias("seconds")).orderBy(F.desc("seconds"), "user_id", "start_time").limit(100)
+    return v.select("user_id", "start_time", F.round(seconds, 6).alias("seconds")).orderBy(F.desc("seconds"), "user_id", "start_time")
 
 
 @query
