@@ -245,6 +245,7 @@ def spans_of(rows, n=50):
 def test_op3_against_all_windows(messy, real, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "COMPARED", 500)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 3 if hot else 1000)
     for docs in (messy, real):
         got = suffix_dedup.repeated_passages(docs).collect()
         assert {(r.id, r.start, r.end) for r in got} == spans_of([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])

@@ -11,15 +11,18 @@ reach min_words, the match is extended: for each way to divide the run between l
 right, suffixes are compared on the whole run. So each run of min_words words
 that another document has is found, and runs that touch are joined to spans.
 
-Suffixes whose FIRST words occur more than HOT times are not gathered in one task: each
-of their runs is counted by its hash instead, which combines before the shuffle.
+Suffixes of one document that have the same words around them, as a repeated line has,
+are compared once, and what is found holds at each of their places. Suffixes whose
+FIRST words occur in more than HOT documents are not gathered in one task: each of
+their runs is counted by its hash instead, which combines before the shuffle.
 
 Defined results
 ---------------
 * words are runs of bytes other than the six ASCII spaces, A-Z lower-cased;
 * rows with one id are one document; so are all rows without an id, which repeat
   only against rows with one;
-* null and empty texts, and texts under min_words words, have no spans;
+* null and empty texts, and texts under min_words words, have no spans; texts of any
+  length are read whole;
 * repeats within one document alone are no spans;
 * an empty table gives an empty result; other columns are not read.
 """
@@ -38,8 +41,10 @@ from tidewater.llm._shared import small_batches, staged
 
 #: Words that choose minimisers, and first words that kept suffixes are told apart by.
 GRAM, FIRST = 8, 29
-#: Suffixes with the same first words from which on they are counted by hash.
+#: Documents with the same first words from which on these suffixes are counted by hash.
 HOT = 200_000
+#: Rows from which on a key counts as frequent, if it has over one in COMMON of all rows too.
+OFTEN, COMMON = 1000, 100_000
 #: Bytes of text hashed at a time, and suffixes compared at a time.
 CHUNK, COMPARED = 1 << 20, 20_000
 
@@ -124,7 +129,10 @@ def _batched(names: list, texts: list[bytes | None]) -> Iterator[tuple[list[int]
 
 
 def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, pos int, g long) of every minimiser; docs: (id, t binary)."""
+    """(id, g long, pos array<int>): a row for the first words of each document's minimisers; docs: (id, t binary).
+
+    A line that a document repeats has the same first words at many places: these are one row.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,16 +141,33 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
                 at, gram = minimisers(words, counts, min_words)
                 ends = np.cumsum(counts)
                 text = np.searchsorted(ends, at, side="right")
-                names = b.column(0).take(pa.array(np.array(rows)[text]))
-                yield pa.RecordBatch.from_arrays([names, pa.array((at - (ends - counts)[text]).astype(np.int32)), pa.array(gram.view(np.int64))], ["id", "pos", "g"])
+                order, first = _grouped(text, gram)
+                at, text, gram = at[order], text[order], gram[order]
+                names = b.column(0).take(pa.array(np.array(rows, dtype=np.int64)[text[first]]))
+                yield pa.RecordBatch.from_arrays([names, pa.array(gram[first].view(np.int64)), _lists(at - (ends - counts)[text], first)], ["id", "g", "pos"])
+
+    return docs.mapInArrow(run, f"id {kind}, g long, pos array<int>")
+
+
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): an order that brings equal keys together, and where in it each different one begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(new)
+
 
-    return docs.mapInArrow(run, f"id {kind}, pos int, g long")
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """values cut into lists that begin at `first`."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[first, len(values)].astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def _contexts(docs: DataFrame, min_words: int) -> DataFrame:
-    """(g long, id, pos int, left int, right int, ctx binary): docs' suffixes at `at`, with the words around them.
+    """(g long, id, pos array<int>, left int, right int, ctx binary): docs' suffixes at `at`, with the words around them.
 
-    ctx has 32 bits of each word from min_words - FIRST before the suffix to min_words
+    Suffixes of one document with the same words around them are one row. ctx has 32 bits of each word from min_words - FIRST before the suffix to min_words
     after its start; left and right tell how many of these the text has.
     """
     kind = docs.schema["id"].dataType.simpleString()
@@ -166,11 +191,14 @@ def _contexts(docs: DataFrame, min_words: int) -> DataFrame:
                 short = np.r_[np.zeros(before, np.uint32), (words >> np.uint64(32)).astype(np.uint32), np.zeros(min_words, np.uint32)]
                 ctx = np.lib.stride_tricks.sliding_window_view(short, before + min_words)[at]
                 left, right = np.minimum(pos, before), np.minimum(counts[text] - pos, min_words)
-                names = b.column(0).take(pa.array(np.array(rows)[text]))
-                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * (before + min_words)), len(at), [None, pa.py_buffer(np.ascontiguousarray(ctx))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), names, pa.array(pos.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), data], ["g", "id", "pos", "left", "right", "ctx"])
+                order, first = _grouped(text, gram, left, right, _mix(_run_hashes(ctx, before + min_words)[:, 0]))
+                pos, kept = pos[order], order[first]
+                text, gram, left, right, ctx = text[kept], gram[kept], left[kept], right[kept], ctx[kept]
+                names = b.column(0).take(pa.array(np.array(rows, dtype=np.int64)[text]))
+                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * (before + min_words)), len(text), [None, pa.py_buffer(np.ascontiguousarray(ctx))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), names, _lists(pos, first), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), data], ["g", "id", "pos", "left", "right", "ctx"])
 
-    return docs.mapInArrow(run, f"g long, id {kind}, pos int, left int, right int, ctx binary")
+    return docs.mapInArrow(run, f"g long, id {kind}, pos array<int>, left int, right int, ctx binary")
 
 
 def _run_hashes(ctx: np.ndarray, min_words: int) -> np.ndarray:
@@ -227,13 +255,22 @@ def compare(group: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _ranges(row: np.ndarray, o: np.ndarray, other: np.ndarray, pos: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, other): the runs of a row with one partner, joined where they follow each other."""
+def _spread(pos: pa.ListArray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, place): each of the rows' places, and which of `row` it is of."""
+    ends = pos.offsets.to_numpy().astype(np.int64)
+    n = np.diff(ends)[row]
+    which = np.repeat(np.arange(len(row)), n)
+    at = np.repeat(ends[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return which, pos.values.to_numpy(zero_copy_only=False)[at]
+
+
+def _ranges(row: np.ndarray, o: np.ndarray, other: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, other): the runs of a row with one partner, joined where they follow each other; start and end from the suffix on."""
     order = np.lexsort((o, other, row))
     row, o, other = row[order], o[order], other[order]
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (other[1:] != other[:-1]) | (o[1:] != o[:-1] + 1)])
     last = np.r_[first[1:], len(row)] - 1
-    return row[first], pos[row[first]] - o[last], pos[row[first]] - o[first] + min_words, other[first]
+    return row[first], -o[last], min_words - o[first], other[first]
 
 
 def _compared(contexts: DataFrame, min_words: int) -> DataFrame:
@@ -250,7 +287,9 @@ def _compared(contexts: DataFrame, min_words: int) -> DataFrame:
         ctx = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint32).reshape(-1, n)
         group = np.cumsum(np.r_[False, g[1:] != g[:-1]])
         row, o, other = compare(group, ids, t["left"].to_numpy(), t["right"].to_numpy(), ctx, min_words)
-        row, start, end, other = _ranges(row, o, other, t["pos"].to_numpy().astype(np.int64), min_words) if len(row) else (row, row, row, other)
+        row, start, end, other = _ranges(row, o, other, min_words) if len(row) else (row, row, row, other)
+        which, place = _spread(t["pos"].combine_chunks(), row)
+        row, start, end, other = row[which], place + start[which], place + end[which], other[which]
         partner = names.take(pa.array(np.where(other > 0, other - 1, 0), mask=other == 0)) if len(names) else pa.nulls(len(other), t["id"].type)
         own = t["id"].combine_chunks()
         return pa.RecordBatch.from_arrays([own.take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), partner], ["id", "start", "end", "other"])
@@ -286,19 +325,34 @@ def _counted(contexts: DataFrame, min_words: int) -> DataFrame:
                 continue
             n = len(b.column(5)[0].as_py()) // 4
             ctx = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint32).reshape(-1, n)
-            left, right, pos = (b.column(c).to_numpy() for c in (3, 4, 2))
+            left, right = (b.column(c).to_numpy() for c in (3, 4))
             o = np.arange(n - min_words + 1)
             row, o = np.nonzero((left[:, None] >= o) & (right[:, None] >= min_words - o))
             h = _run_hashes(ctx, min_words)[row, o]
-            start = pos[row] - o
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1).take(pa.array(row)), pa.array(start.astype(np.int32))], ["h", "id", "start"])
+            names = b.column(1).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), names, b.column(2).take(pa.array(row)), pa.array(o.astype(np.int32))], ["h", "id", "pos", "o"])
 
-    runs = contexts.mapInArrow(run, f"h long, id {kind}, start int").distinct()
+    runs = staged(contexts.mapInArrow(run, f"h long, id {kind}, pos array<int>, o int"), "runs")
     # a null id counts as a document of its own
-    many = runs.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("nameless"))
-    many = many.where("least is not null and (least != most or nameless)").select(F.col("h").alias("k"), "least", "most")
+    many = runs.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("nameless"), F.count(F.lit(1)).alias("n"))
+    many = many.where("least is not null and (least != most or nameless)").select(F.col("h").alias("k"), "least", "most", "n")
     other = F.when(F.col("id").eqNullSafe(F.col("least")), F.when(F.col("least") != F.col("most"), F.col("most"))).otherwise(F.col("least"))
-    return runs.join(many, F.col("h") == F.col("k")).select("id", "start", (F.col("start") + min_words).cast("int").alias("end"), other.alias("other"))
+    found = _by_key(runs, "h", many).withColumn("start", F.explode("pos")).withColumn("start", F.col("start") - F.col("o"))
+    return found.select("id", "start", (F.col("start") + min_words).cast("int").alias("end"), other.alias("other"))
+
+
+def _by_key(rows: DataFrame, key: str, facts: DataFrame) -> DataFrame:
+    """rows with what facts has for their key (k, n, ...), n being the key's number of rows.
+
+    No more than COMMON keys can have over one in COMMON of the rows. Their facts are
+    sent to all tasks, so that no task gets all rows of such a key; the rest is
+    joined by shuffle.
+    """
+    facts = staged(facts, "facts")
+    often = F.broadcast(facts.where(F.col("n") > max(OFTEN, rows.count() // COMMON)))
+    seldom = facts.join(often.select(F.col("k").alias("o_")), F.col("k") == F.col("o_"), "left_anti")
+    rest = rows.join(often.select("k"), F.col(key) == F.col("k"), "left_anti").join(seldom, F.col(key) == F.col("k"))
+    return rows.join(often, F.col(key) == F.col("k")).unionByName(rest)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -312,8 +366,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where(F.length("t") >= 2 * min_words - 1)
     sparse = staged(suffixes(own, min_words), "suffixes")
     shared = sparse.groupBy("g").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max(F.col("id").isNull()).alias("nameless"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where("a is not null and (a != b or nameless)").select(F.col("g").alias("k"), (F.col("n") > HOT).alias("hot"))
-    hits = staged(sparse.join(shared, F.col("g") == F.col("k")).groupBy("id", "hot").agg(F.collect_set("pos").alias("at")), "hits")
+    shared = shared.where("a is not null and (a != b or nameless)").select(F.col("g").alias("k"), "n", (F.col("n") > HOT).alias("hot"))
+    hits = staged(_by_key(sparse, "g", shared).groupBy("id", "hot").agg(F.flatten(F.collect_list("pos")).alias("at")), "hits")
 
     def contexts(hot: bool) -> DataFrame:
         at = hits.where(F.col("hot") == hot).select(F.col("id").alias("i"), "at")
