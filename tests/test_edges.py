@@ -246,6 +246,40 @@ def test_labelled_windows(spark):
     assert pipelines.labelled_windows(ann, existing=meta)[0].count() == 0
 
 
+def test_running_totals_by_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if g == 0 else int(g), float(s), int(v)) for g, s, v in zip(rng.zipf(1.5, 500) % 5, rng.permutation(500), rng.integers(0, 9, 500), strict=True)]
+    df = spark.createDataFrame(rows, "g int, s double, v long").repartition(3)
+    got = {r.s: (r.a, r.b) for r in ordered.running_totals(df, ["g"], [F.desc("s")], {"a": "v", "b": "v"}).collect()}
+    for g, s, _ in rows:
+        want = sum(v for h, t, v in rows if h == g and t >= s)
+        assert got[s] == (want, want)
+
+
+def test_ranks_of_a_large_class(spark):
+    """Continuous scores, nearly all of one class: against counts of pairs and the steps of recall."""
+    rng = np.random.default_rng(9)
+    x = [("a" if i % 50 else "b", int(rng.random() < 0.3), round(float(rng.normal()), 2)) for i in range(600)] + [("c", 1, 0.5), ("d", 0, 0.5)]
+    df = spark.createDataFrame(x, "cls string, positive int, score double")
+    auc = {r.cls: r.auc for r in evaluate.roc_auc(df, "cls", "positive", "score").collect()}
+    ap = {r.cls: r.ap for r in evaluate.average_precision(df, "cls", "positive", "score").collect()}
+    assert auc["c"] is None and auc["d"] is None and ap["d"] is None and ap["c"] == 1
+    for c in "ab":
+        pos, neg = ([s for k, p, s in x if k == c and p == want] for want in (1, 0))
+        assert auc[c] == pytest.approx(np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]))
+        at = lambda t: [p for k, p, s in x if k == c and s >= t]  # noqa: B023, E731
+        assert ap[c] == pytest.approx(sum(np.mean(at(t)) for t in pos) / len(pos))
+
+
+def test_covers_of_any_length(spark):
+    rng = np.random.default_rng(6)
+    at = lambda s: T0 + dt.timedelta(seconds=float(s))
+    covers = [(at(s), at(s + n)) for s, n in zip(rng.uniform(0, 1e7, 60), 10 ** rng.uniform(-3, 5.5, 60), strict=True)] + [(at(5), at(5)), (at(9), at(7)), (at(2e7), at(2e7 + 8)), (at(3e7), at(3e7 + 64))]
+    times = [(i, at(s)) for i, s in enumerate([*rng.uniform(0, 1e7, 800), 5, 8, 2e7, 2e7 + 8, 3e7 + 64, 3e7 + 65])] + [(9999, None)]
+    got = {r.i for r in sessions.uncovered_anywhere(spark.createDataFrame(times, "i int, ts timestamp_ntz"), spark.createDataFrame(covers, "start_time timestamp_ntz, end_time timestamp_ntz"), "ts", bucket_seconds=1).collect()}
+    assert got == {i for i, t in times if t is None or not any(a <= t <= b for a, b in covers)}
+
+
 def test_linear_probe(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i % 3 == 0), float(i % 3 == 1)], i % 3) for i in range(30)] + [(99, None, 1)], "k int, v array<float>, c int")
     probe.save(probe.fit(df, "v", "c"), str(tmp_path / "m"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.ordered import running_totals
+
 
 def accuracy(rows: DataFrame, label: str, pred: str) -> DataFrame:
     return rows.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
@@ -21,8 +23,7 @@ def average_precision(rows: DataFrame, cls: str, positive: str, score: str) -> D
     A class without a positive has null.
     """
     ties = rows.groupBy(cls, score).agg(F.sum(positive).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(cls).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = ties.withColumn("_tp", F.sum("_p").over(w)).withColumn("_all", F.sum("_n").over(w))
+    x = running_totals(ties, [cls], [F.desc(score)], {"_tp": "_p", "_all": "_n"})
     out = x.groupBy(cls).agg(F.sum(F.col("_p") * F.col("_tp") / F.col("_all")).alias("_s"), F.sum("_p").alias("n_pos"))
     return out.select(cls, F.when(F.col("n_pos") > 0, F.col("_s") / F.col("n_pos")).alias("ap"), "n_pos")
 
@@ -34,9 +35,8 @@ def roc_auc(rows: DataFrame, cls: str, positive: str, score: str) -> DataFrame:
     with positives or negatives only has null.
     """
     ties = rows.groupBy(cls, score).agg(F.sum(positive).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(cls).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    x = ties.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    rank = F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)
+    x = running_totals(ties, [cls], [F.asc(score)], {"_upto": "_n"})
+    rank = F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
     out = x.groupBy(cls).agg(F.sum(F.col("_p") * rank).alias("_s"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("_all"))
     neg = F.col("_all") - F.col("n_pos")
     auc = (F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / F.lit(2.0)) / (F.col("n_pos") * neg)

@@ -9,22 +9,31 @@ from tidewater.operators.work import cut
 
 
 def running_total(rows: DataFrame, order: list[str], value: str, into: str, exclusive: bool = False) -> DataFrame:
-    """rows with the total of `value` up to each row (or before it), by `order`, nulls first.
+    """rows with the total of `value` up to each row (or before it), by `order`, nulls first."""
+    out = running_totals(rows, [], [F.col(c) for c in order], {into: value})
+    return out.withColumn(into, F.col(into) - F.coalesce(F.col(value), F.lit(0))) if exclusive else out
 
-    Rows are dealt by range, added up within each part, and the totals of the parts
-    before are added: a window over one row a part.
+
+def running_totals(rows: DataFrame, by: list[str], order: list[Column], totals: dict[str, str]) -> DataFrame:
+    """rows with a column for each of `totals` (name: column): its total up to each row of a group, by `order`.
+
+    Rows are dealt by range of group and order, added up within each part, and the
+    totals of a group's parts before are added. Dealt so, parts and groups meet in no
+    more pairs than there are parts and groups, however many rows a group has.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = {c: f"_of_group{i}" for i, c in enumerate(by)}
+    names = {c: f"_before{i}" for i, c in enumerate(totals)}
     # written, so that the parts are the same in both uses
-    dealt = cut(rows.repartitionByRange(n, *[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(F.col("_p").alias("_q")).agg(F.sum(value).alias("_s")).withColumnRenamed("_q", "_p").withColumn("_b", F.coalesce(F.sum("_s").over(before), F.lit(0))).select(F.col("_p").alias("_q"), "_b")
-    here = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dealt.withColumn("_r", F.sum(value).over(here)).join(F.broadcast(starts), F.col("_p") == F.col("_q"))  # a row a part
-    total = F.col("_r") + F.col("_b")
-    if exclusive:
-        total = total - F.coalesce(F.col(value), F.lit(0))
-    return out.withColumn(into, total).drop("_p", "_q", "_b", "_r")
+    dealt = cut(rows.repartitionByRange(n, *[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys.values()).orderBy("_of_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*[F.col(c).alias(k) for c, k in keys.items()], F.col("_part").alias("_of_part")).agg(*[F.sum(totals[c]).alias(t) for c, t in names.items()])
+    starts = starts.withColumns({t: F.coalesce(F.sum(t).over(before), F.lit(0)) for t in names.values()})
+    here = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.withColumns({c: F.sum(v).over(here) for c, v in totals.items()})
+    same = [F.col("_part") == F.col("_of_part"), *[F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]]
+    out = out.join(starts if by else F.broadcast(starts), same)  # without groups a row a part
+    return out.withColumns({c: F.col(c) + F.col(t) for c, t in names.items()}).drop("_part", "_of_part", *keys.values(), *names.values())
 
 
 def prefix_index(recordings: DataFrame, order: list[str], windows: str) -> DataFrame:

@@ -40,12 +40,19 @@ def uncovered(windows: DataFrame, covers: DataFrame, on: dict[str, str], ts: str
 def uncovered_anywhere(windows: DataFrame, covers: DataFrame, ts: str, start: str = "start_time", end: str = "end_time", bucket_seconds: int = 3600) -> DataFrame:
     """Windows whose time is in no cover at all.
 
-    Covers are put into every time bucket that they touch, which gives the join an
-    equal key; the anti-join itself needs no removal of repeats.
+    Covers are put into time buckets, which gives the join an equal key. A cover goes to
+    the finest of the widths (bucket_seconds, and 8 times the one before) that is no less
+    than its length, so it touches two buckets at most; there is an anti-join for each
+    width in use.
     """
     size = bucket_seconds * 1_000_000
-    a, b = F.floor(micros(F.col(start)) / size), F.floor(micros(F.col(end)) / size)
-    c = covers.where(F.col(start) <= F.col(end)).select(F.col(start).alias("_a"), F.col(end).alias("_b"), F.explode(F.sequence(a, b)).alias("_bucket"))
-    c = c.groupBy("_bucket", "_a").agg(F.max("_b").alias("_b"))
+    length = micros(F.col(end)) - micros(F.col(start))
+    level = F.greatest(F.lit(0), F.ceil(F.log(8.0, length / F.lit(float(size))) - 1e-9)).cast("int")
+    c = covers.where(F.col(start) <= F.col(end)).select(F.col(start).alias("_a"), F.col(end).alias("_b"), F.coalesce(level, F.lit(0)).alias("_level"))
     t = F.col(ts)
-    return windows.join(c, (F.floor(micros(t) / size) == F.col("_bucket")) & (F.col("_a") <= t) & (t <= F.col("_b")), "left_anti")
+    for r in c.select("_level").distinct().orderBy("_level").collect():  # a time has 64 bits, so there are 22 widths at most
+        width = size * 8 ** r["_level"]
+        here = c.where(F.col("_level") == r["_level"]).select("_a", "_b", F.explode(F.sequence(F.floor(micros(F.col("_a")) / width), F.floor(micros(F.col("_b")) / width))).alias("_bucket"))
+        here = here.groupBy("_bucket", "_a").agg(F.max("_b").alias("_b"))
+        windows = windows.join(here, (F.floor(micros(t) / width) == F.col("_bucket")) & (F.col("_a") <= t) & (t <= F.col("_b")), "left_anti")
+    return windows

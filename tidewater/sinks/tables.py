@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater import files
 from tidewater.operators.annotations import only_new
 
 
@@ -63,19 +64,11 @@ def dead_letters(df: DataFrame, path: str, error: str = "error") -> DataFrame:
 
 
 def write_files(df: DataFrame, root: str, name: str = "clip", data: str = "data") -> DataFrame:
-    """(name, bytes) after writing each row's data to root/name, through the file system that the executors see as a path."""
-    import os
+    """(name, bytes) after writing each row's data to root/name; root is a path or address that all executors reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = []
-            for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                to = os.path.join(root, n)
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                with open(f"{to}.part", "wb") as f:
-                    f.write(d)
-                os.replace(f"{to}.part", to)  # a task that is run again leaves the same file
-                sizes.append(len(d))
+            sizes = [files.put(f"{root.rstrip('/')}/{n}", d) for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["name", "bytes"])
 
     return df.where(F.col(data).isNotNull()).select(F.col(name), F.col(data)).mapInArrow(run, "name string, bytes long")
@@ -83,23 +76,26 @@ def write_files(df: DataFrame, root: str, name: str = "clip", data: str = "data"
 
 def copy_files(plan: DataFrame, root: str) -> DataFrame:
     """(src, dst, status) of a copy plan: copied, there already, or missing."""
-    import os
-    import shutil
+
+    def copied(src: str, dst: str) -> str:
+        to = f"{root.rstrip('/')}/{dst}"
+        if files.exists(to):
+            return "present"
+        if not files.exists(src):
+            return "missing"
+        with files.opened(src) as f:
+            files.put(to, f)
+        return "copied"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                to = os.path.join(root, d)
-                if os.path.exists(to):
-                    out.append("present")
-                elif not os.path.exists(s):
-                    out.append("missing")
-                else:
-                    os.makedirs(os.path.dirname(to), exist_ok=True)
-                    shutil.copyfile(s, f"{to}.part")
-                    os.replace(f"{to}.part", to)
-                    out.append("copied")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], ["src", "dst", "status"])
+            out = [copied(s, d) for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], ["src", "dst", "status"])
 
     return plan.select("src", "dst").mapInArrow(run, "src string, dst string, status string")
+
+
+def log_run(spark: SparkSession, path: str, step: str, counts: dict[str, int]) -> None:
+    """Adds a line (at, step, name, n) to a run's log for each count."""
+    rows = spark.createDataFrame([(step, k, int(v)) for k, v in counts.items()], "step string, name string, n long")
+    rows.select(F.current_timestamp().alias("at"), "step", "name", "n").coalesce(1).write.mode("append").json(path)

@@ -1,7 +1,10 @@
-"""Audio: headers, sections, windows and spectra, from PCM WAV content.
+"""Audio: headers, sections, windows and spectra, from PCM WAV and FLAC.
 
 Other codecs plug in as `decode`, a function of the file's bytes that gives samples
-[frame, channel] in -1 to 1 and the rate.
+[frame, channel] in -1 to 1 and the rate. Sections and lengths can be had from the
+bytes of files that are already read (headers, clips), or by path from the shared file
+system (headers_at, clips_at): then a length takes the header only, and a section of a
+WAV file only its own bytes.
 """
 
 from __future__ import annotations
@@ -9,19 +12,30 @@ from __future__ import annotations
 import wave
 from collections.abc import Callable, Iterator
 from io import BytesIO
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-Decode = Callable[[bytes], tuple[np.ndarray, int]]
-
+from tidewater.files import opened
+from tidewater.sources import flac
 
-def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
-    """Samples and rate of 8, 16, 24 or 32 bit PCM."""
-    with wave.open(BytesIO(content)) as w:
-        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+Decode = Callable[[bytes], tuple[np.ndarray, int]]
+Measure = Callable[[BinaryIO], tuple[int, int]]
+#: Recordings with wanted sections up to which the list of sections is broadcast, and sections of one.
+BROADCAST_RECORDINGS, BROADCAST_SECTIONS = 100_000, 1_000_000
+
+
+def read_wav(f: BinaryIO, start: float = 0.0, stop: float | None = None) -> tuple[np.ndarray, int]:
+    """Samples from start to stop seconds and rate of 8, 16, 24 or 32 bit PCM; only these samples are read."""
+    with wave.open(f) as w:
+        width, channels, rate, n = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.getnframes()
+        a = min(n, max(0, round(start * rate)))
+        b = n if stop is None else min(n, max(a, round(stop * rate)))
+        w.setpos(a)
+        raw = np.frombuffer(w.readframes(b - a), np.uint8)
     if width == 1:
         x = (raw.astype(np.float64) - 128) / 128
     else:
@@ -31,6 +45,26 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels), rate
 
 
+def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
+    return read_wav(BytesIO(content))
+
+
+def decode(content: bytes) -> tuple[np.ndarray, int]:
+    """Samples and rate of WAV or FLAC."""
+    return flac.decode(content) if content[:4] == flac.MAGIC else decode_wav(content)
+
+
+def measure(f: BinaryIO) -> tuple[int, int]:
+    """(frames, rate) of WAV or FLAC from the header; a FLAC stream of unknown length is decoded."""
+    head = f.read(42)
+    f.seek(0)
+    if head[:4] != flac.MAGIC:
+        with wave.open(f) as w:
+            return w.getnframes(), w.getframerate()
+    about = flac.info(head)
+    return about.frames or sum(map(len, flac.blocks(f.read()))), about.rate
+
+
 def encode_wav(samples: np.ndarray, rate: int) -> bytes:
     """16 bit PCM of one channel."""
     out = BytesIO()
@@ -83,54 +117,139 @@ def mel_db(x: np.ndarray, rate: int, n_fft: int = 1024, hop: int = 512, bands: i
     return 10 * np.log10(np.maximum(bank @ power.T, 1e-10))
 
 
-def headers(contents: DataFrame, decode: Decode = decode_wav) -> DataFrame:
+def mfcc(x: np.ndarray, rate: int, coefficients: int = 13, **mel: int) -> np.ndarray:
+    """Mel-frequency cepstral coefficients, [coefficient, frame]: the orthonormal cosine transform (II) of mel_db."""
+    m = mel_db(x, rate, **mel)
+    n = len(m)
+    basis = np.cos(np.pi * np.arange(coefficients)[:, None] * (np.arange(n) + 0.5) / n) * np.sqrt(2 / n)
+    basis[0] /= np.sqrt(2)
+    return basis @ m
+
+
+def headers(contents: DataFrame, measure: Measure = measure) -> DataFrame:
     """(path, frames, rate, duration, error) of files (path, content); broken files have an error and no figures."""
+    return _headers(contents.select("path", "content"), lambda row: BytesIO(row[1]), measure)
+
+
+def headers_at(paths: DataFrame, measure: Measure = measure) -> DataFrame:
+    """What headers() gives, for files (path) in the shared file system: no more than their headers is read."""
+    return _headers(paths.select("path"), lambda row: opened(row[0]), measure)
 
+
+def _headers(files: DataFrame, open_: Callable[[tuple], BinaryIO], measure: Measure) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 try:
-                    x, rate = decode(c)
-                    rows.append((p, len(x), rate, len(x) / rate, None))
+                    with open_(row) as f:
+                        n, rate = measure(f)
+                    rows.append((row[0], n, rate, n / rate, None))
                 except Exception as e:  # one broken file does not end the job; it is reported
-                    rows.append((p, None, None, None, str(e) or type(e).__name__))
+                    rows.append((row[0], None, None, None, str(e) or type(e).__name__))
             yield pa.RecordBatch.from_pylist([dict(zip(("path", "frames", "rate", "duration", "error"), r, strict=True)) for r in rows], pa.schema([("path", pa.string()), ("frames", pa.int64()), ("rate", pa.int32()), ("duration", pa.float64()), ("error", pa.string())]))
 
-    return contents.select("path", "content").mapInArrow(run, "path string, frames long, rate int, duration double, error string")
+    return files.mapInArrow(run, "path string, frames long, rate int, duration double, error string")
 
 
-def clips(contents: DataFrame, wanted: DataFrame, rate: int | None = None, decode: Decode = decode_wav) -> DataFrame:
-    """(clip, data, error): sections of recordings as WAV; wanted: (path, clip, start, stop).
+def _parts(wanted: DataFrame) -> DataFrame:
+    """(path, parts): each recording's sections together, so that it is opened once."""
+    return wanted.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "clip"))).alias("parts"))
 
-    Each recording's sections are gathered first, so it is decoded once.
-    """
-    from pyspark.sql import functions as F
 
-    parts = wanted.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "clip"))).alias("parts"))
+Sections = Callable[[float, float], tuple[np.ndarray, int]]
+
+
+def _cut(recordings: DataFrame, read: Callable[..., Sections], rate: int | None) -> DataFrame:
+    """(clip, data, error) of rows (..., parts); `read` takes the columns before parts and gives a reader of sections."""
     schema = pa.schema([("clip", pa.string()), ("data", pa.binary()), ("error", pa.string())])
 
+    def cut(section_: Sections, want: dict) -> bytes:
+        x, r = section_(want["start"], want["stop"])
+        if not len(x):
+            raise ValueError("no audio there")
+        return encode_wav(resample(mono(x), r, rate) if rate else mono(x), rate or r)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, x, r, why = [], None, 0, None
+            for *columns, want in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 try:
-                    x, r = decode(c)
-                    x = mono(x)
+                    section_, why = read(*columns, want), None
                 except Exception as e:  # reported with each of the recording's clips
-                    why = str(e) or type(e).__name__
+                    section_, why = None, str(e) or type(e).__name__
                 for w in want:
-                    if x is None:
-                        rows.append({"clip": w["clip"], "data": None, "error": why})
-                        continue
-                    s = section(x, r, w["start"], w["stop"])
-                    if not len(s):
-                        rows.append({"clip": w["clip"], "data": None, "error": "no audio there"})
-                        continue
-                    rows.append({"clip": w["clip"], "data": encode_wav(resample(s, r, rate) if rate else s, rate or r), "error": None})
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return contents.join(parts, "path").select("content", "parts").mapInArrow(run, "clip string, data binary, error string")
+                    row = {"clip": w["clip"], "data": None, "error": why}
+                    if section_:
+                        try:
+                            row["data"] = cut(section_, w)
+                        except Exception as e:  # reported with this clip
+                            row["error"] = str(e) or type(e).__name__
+                    yield pa.RecordBatch.from_pylist([row], schema)
+
+    return recordings.mapInArrow(run, "clip string, data binary, error string")
+
+
+def _of_samples(x: np.ndarray, rate: int) -> Sections:
+    return lambda start, stop: (section(x, rate, start, stop), rate)
+
+
+def clips(contents: DataFrame, wanted: DataFrame, rate: int | None = None, decode: Decode = decode) -> DataFrame:
+    """(clip, data, error): sections of recordings as mono WAV; wanted: (path, clip, start, stop).
+
+    Each recording's sections are gathered first, so it is decoded once. The list of
+    sections goes to the recordings, which are not shuffled, while it is short.
+    """
+    parts = _parts(wanted)
+    size = parts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("parts")).alias("sections")).first()
+    if size["n"] <= BROADCAST_RECORDINGS and (size["sections"] or 0) <= BROADCAST_SECTIONS:
+        parts = F.broadcast(parts)
+    rows = contents.join(parts, "path").select("content", "parts")
+    return _cut(rows, lambda content, want: _of_samples(*decode(content)), rate)
+
+
+def clips_at(wanted: DataFrame, rate: int | None = None) -> DataFrame:
+    """What clips() gives, for recordings in the shared file system: only the wanted bytes of WAV files are read.
+
+    FLAC files are decoded up to the last wanted sample. No content is shuffled.
+    """
+
+    def read(path: str, want: list[dict]) -> Sections:
+        with opened(path) as f:
+            head = f.read(42)
+            if head[:4] == flac.MAGIC:
+                last = max(w["stop"] for w in want)
+                return _of_samples(*flac.decode(head + f.read(), round(last * flac.info(head).rate) + 1))
+
+        def at(start: float, stop: float) -> tuple[np.ndarray, int]:
+            with opened(path) as f:
+                return read_wav(f, start, stop)
+
+        return at
+
+    return _cut(_parts(wanted).select("path", "parts"), read, rate)
+
+
+def loaded(contents: DataFrame, rate: int, decode: Decode = decode) -> DataFrame:
+    """(path, samples, error): whole recordings, mono and at one rate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = why = None
+                try:
+                    x, r = decode(content)
+                    x = resample(mono(x), r, rate).astype(np.float32)
+                except Exception as e:  # one broken file does not end the job; it is reported
+                    x, why = None, str(e) or type(e).__name__
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([x], pa.list_(pa.float32())), pa.array([why], pa.string())], ["path", "samples", "error"])
+
+    return contents.select("path", "content").mapInArrow(run, "path string, samples array<float>, error string")
+
+
+def spectra(frames: DataFrame, rate: int, coefficients: int | None = None, samples: str = "samples") -> DataFrame:
+    """frames of equal length with embedding: each window's mel spectrogram in decibels, or its MFCC, row after row."""
+    one = (lambda x: mel_db(x, rate)) if coefficients is None else (lambda x: mfcc(x, rate, coefficients))
+    return embedded(frames, lambda m: np.stack([one(x).ravel() for x in m]), samples)
 
 
 def embedded(frames: DataFrame, embed: Callable[[np.ndarray], np.ndarray], samples: str = "samples") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater import schemas
 from tidewater.functions.names import basename, is_recording, parent, start_time
+from tidewater.operators.ordered import running_total
 
 
 def pings(spark: SparkSession, path: str) -> DataFrame:
@@ -53,6 +54,11 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
     return x.select("path", "length", parent(F.col("path")).alias("label"), start_time(F.col("path")).alias("start_ts"))
 
 
+def within_bytes(listed: DataFrame, cap: int) -> DataFrame:
+    """Of files (path, length), the first by path whose lengths together are no more than `cap` bytes."""
+    return running_total(listed, ["path"], "length", "total").where(F.col("total") <= cap).drop("total")
+
+
 def object_count(spark: SparkSession, path: str) -> int:
     return files(spark, path).count()
 
