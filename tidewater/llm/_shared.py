@@ -7,37 +7,19 @@ a lost executor costs the tasks it ran and not the whole chain.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.work import work_folder
+
 #: Groups (classes, languages) that a bounded sample is drawn from at most.
 GROUPS = 128
 #: Java regular expression of a word: a run of bytes other than the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where that is unset: a temporary folder on a local master, else the warehouse.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="tidewater-")
-    return _own_folder[app]
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back.
 
@@ -45,7 +27,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     results that are not yet computed may still read it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_at = path
@@ -61,7 +43,7 @@ def unstage(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches of text columns, so that long texts fit in a Python worker."""
+    """Bound the Arrow batches of text columns by rows; Spark bounds them by bytes too (arrow.maxBytesPerBatch)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -12,7 +12,7 @@ Defined results
 ---------------
 * words are lower-cased; an item of fewer words than a shingle is one shingle of all
   its words and is looked for as such; items without a word are in no document;
-* null and empty documents contain nothing;
+* null and empty documents contain nothing; texts of any length are read whole;
 * rows with one id and different texts are judged each on its own, and rows with
   equal id and text as one; rows of a null id are judged as any others;
 * items with one id are judged together; repeated items count once;
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm._shared import WORD, staged
 
-#: Rows up to which a table of item shingles is broadcast (16 bytes a hash); larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of text up to which a table of item shingles is broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -64,8 +64,9 @@ def sketches(shingled: DataFrame, threshold: float) -> DataFrame:
     return ranked.where(F.col("r") <= F.floor((1 - threshold) * largest + 1e-9) + 1).select("item_id", "size", "h")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, text: str | None = None) -> DataFrame:
+    size = df.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.octet_length(text)) if text else F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -90,7 +91,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     candidates = staged(hits.select("id", "mark").distinct(), "candidates").select(F.col("id").alias("i"), F.col("mark").alias("m"))
     some = own.join(candidates, own.id.eqNullSafe(F.col("i")) & (own.mark == F.col("m")), "left_semi")
     parts = shingled.select("item_id", F.col("size").alias("z"), "s")
-    found = exploded(some, False).join(_small(parts), (F.col("g") == F.col("s")) & (F.col("size") == F.col("z")))
+    found = exploded(some, False).join(_small(parts, "s"), (F.col("g") == F.col("s")) & (F.col("size") == F.col("z")))
     shared = found.select("id", "mark", "item_id", "size", "g").distinct().groupBy("id", "mark", "item_id", "size").agg(F.count(F.lit(1)).alias("shared"))
     whole = shingled.groupBy(F.col("item_id").alias("k"), F.col("size").alias("z")).agg(F.count(F.lit(1)).alias("item_size"))
     out = shared.join(whole, F.col("item_id").eqNullSafe(F.col("k")) & (F.col("size") == F.col("z")))
