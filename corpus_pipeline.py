@@ -49,6 +49,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
+    Candidates have SimHash fingerprints that differ in 8 bits or fewer, or share a MinHash
+    band, which finds the similar texts that differ in more; all are checked on the texts.
     The document with the least id of a group stays; null only if no other id is there.
     All texts without a word are one group. Of rows with that id and the same shingles
     one stays, the first by all its columns; where rows with that id have different
@@ -59,7 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     here = F.col("row.doc_id").eqNullSafe(F.col("id"))
     if out.groupBy("id").count().where("count > 1").isEmpty():
         return _rows(docs).join(kept, here, "left_semi").select("row.*")
-    # ids repeat: the row is told by its fingerprint too, and of equal ones one stays
+    # ids repeat: the row is told by its set of shingles too, and of equal ones one stays
     marked = _rows(docs).withColumn("p", simhash.print_of(F.col("row.text"), 5)).join(kept, here & (F.col("p") == F.col("fp")), "left_semi")
     first = F.row_number().over(Window.partitionBy("row.doc_id", "p").orderBy("row"))
     return marked.withColumn("r", first).where("r = 1").select("row.*")

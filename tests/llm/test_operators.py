@@ -147,6 +147,44 @@ def test_op1_groups_find_every_pair_near_the_least_similarity(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def naive_set_fingerprint(text, words):
+    w = text.encode().lower().split()
+    h = {xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))} if w else set()
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_op1_groups_link_fingerprints(spark, monkeypatch):
+    """Without bands, groups are those of the similar texts whose fingerprints differ in few bits, or in none."""
+    rng = np.random.default_rng(5)
+    texts = ["", "one two", "one two three four five six"]
+    for n, changed in [(100, 1), (100, 2), (300, 3), (300, 8), (1000, 4), (40, 1), (200, 60)] * 12:
+        w = [f"g{rng.integers(10**9)}" for _ in range(n)]
+        v = list(w)
+        for at in np.linspace(5, n - 6, changed).astype(int):
+            v[at] = "changed"
+        texts += [" ".join(w), " ".join(v), " ".join([*w, *w[:5]])]
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    prints = [naive_set_fingerprint(t, 5) for t in texts]
+    assert {r.id: r.bits % 2**64 for r in simhash.signatures(docs, "doc_id", "text", 5, 0.8).collect()} == dict(enumerate(prints))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    alike = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    fps = np.array(prints, dtype=np.uint64)
+
+    def grouped(linked):
+        label = np.arange(len(texts))
+        for _ in range(8):
+            label = np.array([label[linked[i]].min() for i in range(len(texts))])
+        return {i: int(k) for i, k in enumerate(label)}
+
+    assert {r.id: r.keep_id for r in simhash.groups(docs).collect()} == grouped(alike)
+    found = simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda classes, similarity: found(classes, similarity).limit(0))
+    for distance in (4, 8):
+        want = grouped(alike & (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance))
+        assert len(set(grouped(alike).values())) < len(set(want.values())) < len(texts)
+        assert {r.id: r.keep_id for r in simhash.groups(docs, distance=distance).collect()} == want
+
+
 def test_op1_cluster_is_single_link(spark, monkeypatch):
     rng = np.random.default_rng(3)
     bases = [[f"b{k}_{i}" for i in range(80)] for k in range(3)]

@@ -1,6 +1,7 @@
 """SimHash near-duplicates: pigeonhole blocks find pairs of close fingerprints, components group them.
 
-groups() is by the similarity of the texts' shingles instead; MinHash bands find its candidates.
+groups() links them further than fingerprints can tell, and then checks the similarity of
+the texts' shingles; MinHash bands add the similar texts whose fingerprints differ in more bits.
 
 Defined results
 ---------------
@@ -49,8 +50,11 @@ def fingerprint(text: bytes | None, words: int, distinct: bool = False) -> int:
     if len(w) <= words:
         return xxhash.xxh64_intdigest(b" ".join(w), SEED)
     h = _hashes(w, words)
-    if distinct:
-        h = np.unique(h)
+    return majority(np.unique(h) if distinct else h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are 1 where they are so in over half of the hashes; 0 for none."""
     octets = h.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
@@ -302,7 +306,7 @@ def banding(similarity: float) -> tuple[int, int]:
 
 
 def shingle_print(text: bytes | None, words: int) -> tuple[int, np.ndarray]:
-    """A fingerprint of the set of a text's shingles, equal for equal sets, and the shingles' hashes."""
+    """A number that tells the set of a text's shingles from others, equal for equal sets, and the shingles' hashes."""
     w = (text or b"").lower().split()
     if not w:
         return 0, np.zeros(0, np.uint64)
@@ -325,7 +329,7 @@ def _bands(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(id, fp long, n int, bands array<long>) of every row: the shingle set's fingerprint, size and bands.
+    """(id, fp long, bits long, n int, bands array<long>) of every row: the shingle set's number, SimHash fingerprint, size and bands.
 
     Bands are empty for sets so small that no other set is similar to them.
     """
@@ -339,11 +343,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, similari
         for b in batches:
             found = [shingle_print(t.as_py(), words) for t in b.column(1)]
             fps = np.array([f for f, _ in found], dtype=np.uint64).view(np.int64)
+            bits = np.array([majority(h) for _, h in found], dtype=np.uint64).view(np.int64)
             keys = [_bands(h, bands, rows) if len(h) >= least else [] for _, h in found]
             n = pa.array([len(h) for _, h in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), n, pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(bits, pa.int64()), n, pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "bits", "n", "bands"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, n int, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, bits long, n int, bands array<long>")
 
 
 def _chained(similarity: float):
@@ -373,23 +378,35 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(_chained(similarity), "a long, b long").distinct()
 
 
+def close(classes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that connect all sets of (fp, bits) whose SimHash fingerprints `bits` differ in `distance` bits or fewer."""
+    least = staged(classes.groupBy("bits").agg(F.min("fp").alias("least")), "prints")
+    same = classes.join(least, "bits").where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    ends = links(least, "bits", distance)
+    for end in ("a", "b"):
+        ends = ends.join(least.select(F.col("bits").alias(end), F.col("least").alias(f"least_{end}")), end)
+    return same.unionByName(ends.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 8, similarity: float = 0.8) -> DataFrame:
     """(id, fp, keep_id) of every row: near-duplicates checked on the texts themselves.
 
-    fp tells a text's set of shingles. Sets that share a band of their signatures form
-    components; a pair at `similarity` shares none with a chance of MISS, whatever
-    the length of the texts, and a more similar one with less. Within a component,
-    texts whose shingles have a Jaccard similarity of `similarity` or more are linked;
-    rows whose texts are connected by links, and rows of one fingerprint, are a group,
-    and keep_id is its least id (null if no row has one). `distance` is taken for
-    older calls only: no pair is left out by it. Components of any size are compared
-    in full.
+    fp tells a text's set of shingles. Sets whose SimHash fingerprints differ in
+    `distance` bits or fewer, which pigeonhole blocks find, form components. A similar
+    pair may differ in more bits, so sets that share a band of their signatures join
+    them: a pair at `similarity` shares none with a chance of MISS, whatever the length
+    of the texts, and a more similar one with less. Within a component, texts whose
+    shingles have a Jaccard similarity of `similarity` or more are linked; rows whose
+    texts are connected by links, and rows of one set, are a group, and keep_id is its
+    least id (null if no row has one). Sets too small for another to be similar are in
+    no component. Components of any size are compared in full.
     """
     signed = staged(signatures(docs, id_col, text_col, words, similarity), "fingerprints")
     own = signed.select("id", "fp")
-    sets = staged(signed.groupBy("fp").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    sets = staged(signed.groupBy("fp").agg(F.min("id").alias("least_id"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     classes = sets.select("fp", "least_id")
-    group = components(candidates(sets, similarity), "a", "b").select(F.col("node").alias("f"), "root")
+    near = close(sets.where(F.size("bands") > 0).select("fp", "bits"), distance).unionByName(candidates(sets, similarity))
+    group = components(near, "a", "b").select(F.col("node").alias("f"), "root")
     many = staged(classes.join(group, F.col("fp") == F.col("f")).select("root", "fp", "least_id"), "members")
     # one text of each class that has a neighbour; where ids repeat, the one with the class's fingerprint
     wanted = many.select(F.col("least_id").alias("i"), "root", "fp").hint("shuffle_hash")
@@ -404,7 +421,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def print_of(text: Column, words: int) -> Column:
-    """The fingerprint of a text's set of shingles, for the few rows of which it is asked for again."""
+    """The number of a text's set of shingles, for the few rows of which it is asked for again."""
 
     @F.pandas_udf("long")
     def run(t: pd.Series) -> pd.Series:
